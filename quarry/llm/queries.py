@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm.bpe import bpe_encode
 from quarry.llm.exact_dedup import exact_dedup
+from quarry.llm.jaccard_join import jaccard_join
+from quarry.llm.language_id import fold, language_id, learn
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,17 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = learn(docs.filter(~fold(F.col("doc_id"))), "text", "lang")
+    found = language_id(docs, model, with_spans=False)
+    return found.select("doc_id", fold(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -34,7 +48,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_encode, op2_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe_encode, op2_exact_dedup, op8_language_id, op10_jaccard_join)}
 
 
 OP2_SQL = """
