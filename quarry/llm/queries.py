@@ -7,10 +7,16 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import ngram_model
 from quarry.llm.bpe import bpe_encode
+from quarry.llm.chat import format_chat
+from quarry.llm.decontaminate import decontaminate
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.jaccard_join import jaccard_join
 from quarry.llm.language_id import fold, language_id, learn
+from quarry.llm.licenses import scan_licenses
+from quarry.llm.line_dedup import dedup_lines
+from quarry.llm.secrets import scan_secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +36,32 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents")).drop("found")
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 7)
+    model = ngram_model.train(docs.filter(~held_out))
+    found = ngram_model.score(docs, model)
+    return found.select(
+        "doc_id", fold(F.col("doc_id"), 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents")).drop("text")
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chat(_table(spark, sf_dir, "conversations")).drop("messages")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = learn(docs.filter(~fold(F.col("doc_id"))), "text", "lang")
@@ -37,18 +69,35 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fold(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+    import corpus_pipeline  # it imports this module
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_encode, op2_exact_dedup, op8_language_id, op10_jaccard_join)}
+    found = (
+        op1_bpe_encode,
+        op2_exact_dedup,
+        op3_decontaminate,
+        op4_secret_scan,
+        op5_lm_scoring,
+        op6_line_dedup,
+        op7_chat_format,
+        op8_language_id,
+        op9_license_scan,
+        op10_jaccard_join,
+        pipeline,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP2_SQL = """

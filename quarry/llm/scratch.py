@@ -32,9 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
+def new_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
+    """A new place in the shared folder; with keep, release() leaves it alone."""
     path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex[:12]}-{tag}"
-    _live.append(path)
+    if not keep:
+        _live.append(path)
     return path
 
 
