@@ -224,8 +224,10 @@ def _first_level(nodes: DataFrame, splits: list[tuple[int, int]]) -> DataFrame:
 
 
 def _near_in_bucket(members: DataFrame, least: int) -> DataFrame:
-    """A spanning forest (a, b) of each bucket's pairs whose sketches agree on at least ``least`` coordinates.
+    """Edges (a, b) that connect what is connected in each bucket: every node with its component's smallest.
 
+    An edge is a pair whose sketches agree on at least ``least`` coordinates.  Naming the smallest node
+    makes buckets that hold the same group say the same, so that equal edges fall together later.
     Rows: path, block, other, side, node, low (one byte a coordinate).  A pair of blocks is one group.
     """
 
@@ -235,9 +237,10 @@ def _near_in_bucket(members: DataFrame, least: int) -> DataFrame:
             n = group.num_rows
             if n < 2:
                 continue
-            nodes = group.column("node").to_numpy()
-            low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(n, -1)
-            side = group.column("side").to_numpy()
+            order = np.argsort(group.column("node").to_numpy(), kind="stable")
+            nodes = group.column("node").to_numpy()[order]
+            low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(n, -1)[order]
+            side = group.column("side").to_numpy()[order]
             across = bool(group.column("block")[0].as_py() != group.column("other")[0].as_py())
             forest = Forest(n)
             for i in range(n - 1):
@@ -245,9 +248,11 @@ def _near_in_bucket(members: DataFrame, least: int) -> DataFrame:
                 if across:
                     close &= side[i + 1 :] != side[i]
                 for j in (np.flatnonzero(close) + i + 1).tolist():
-                    if forest.join(i, j):
-                        a.append(nodes[i])
-                        b.append(nodes[j])
+                    forest.join(i, j)
+            roots = np.array([forest.find(i) for i in range(n)])
+            joined = np.flatnonzero(nodes[roots] != nodes)
+            a += nodes[joined].tolist()
+            b += nodes[roots[joined]].tolist()
             if len(a) > 50_000:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
                 a, b = [], []
@@ -258,6 +263,7 @@ def _near_in_bucket(members: DataFrame, least: int) -> DataFrame:
         .repartition("path", "block", "other")
         .sortWithinPartitions("path", "block", "other")
         .mapInArrow(run, "a long, b long")
+        .distinct()
     )
 
 
@@ -276,7 +282,7 @@ def _blocks(rows: DataFrame, count, block: int, key: str = "node") -> DataFrame:
 
 
 def _verified(rows: DataFrame, threshold: float) -> DataFrame:
-    """Per node and block pair: links (copies included) and a linked node in the spanning forest, if any.
+    """Per node and block pair: links (copies included) and the smallest node it is connected with there, if smaller.
 
     Rows: comp, block, other, side, node, copies, items (sorted 64-bit shingle hashes).
     """
@@ -295,7 +301,7 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
             universe, codes = np.unique(np.concatenate(items), return_inverse=True)
             starts = np.concatenate([[0], np.cumsum(sizes)])
             mark = np.zeros(len(universe), np.int32)
-            links, parent, forest = np.zeros(n, np.int64), [None] * n, Forest(n)
+            links, forest = np.zeros(n, np.int64), Forest(n)
             for i in range(n - 1):
                 own = codes[starts[i] : starts[i + 1]]
                 mark[own] = 1
@@ -309,14 +315,11 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
                 links[i] += copies[at].sum()
                 links[at] += copies[i]
                 for j in at.tolist():
-                    if forest.join(i, j):
-                        if parent[j] is None:
-                            parent[j] = int(nodes[i])
-                        elif parent[i] is None:
-                            parent[i] = int(nodes[j])
-                        else:  # both rows already name a node: one more row for this edge
-                            yield _links([nodes[i]], [0], [int(nodes[j])])
-            yield _links(nodes, links, parent)
+                    forest.join(i, j)
+            near = [int(nodes[r]) if r != i else None for i, r in enumerate(map(forest.find, range(n)))]
+            yield pa.RecordBatch.from_pydict(
+                {"node": pa.array(nodes, pa.int64()), "links": pa.array(links), "near": pa.array(near, pa.int64())}
+            )
 
     return (
         rows.select("comp", "block", "other", "side", "node", "copies", "items")
@@ -326,12 +329,6 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _links(nodes, links, near) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(
-        {"node": pa.array(nodes, pa.int64()), "links": pa.array(links, pa.int64()), "near": pa.array(near, pa.int64())}
-    )
-
-
 def _with_items(rows: DataFrame) -> DataFrame:
     """rows: text and node first; texts become their sorted shingle hashes, texts of another node go."""
 
@@ -370,7 +367,12 @@ def candidate_edges(nodes: DataFrame, threshold: float, bucket: int, depth: int,
         counts = stored(counts, f"buckets{d}")
         here = counts if d == depth else counts.filter(F.col("n") <= bucket)
         members = level.join(sized(here), "path")
-        found.append(_blocks(members, F.col("n"), bucket).select("path", "block", "other", "side", "node"))
+        # buckets that full depth could not split are compared block by block
+        found.append(
+            _blocks(members, F.col("n"), bucket if d < depth else max(bucket, BLOCK)).select(
+                "path", "block", "other", "side", "node"
+            )
+        )
         if d == depth:
             break
         large = counts.filter(F.col("n") > bucket)
