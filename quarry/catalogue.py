@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quarry.plans import content, corpus, dedup, relational, retrieval, text  # noqa: F401  each registers its queries
+from quarry.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
