@@ -46,10 +46,21 @@ TEMPLATES = {
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     ],
-    "CC": [
+    "CC-BY-4.0": [
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "Licensed under CC BY 4.0.",
+    ],
+    "CC-BY-SA-4.0": [
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-        "Licensed under Creative Commons Attribution",
+        "Licensed under CC BY-SA 4.0.",
+    ],
+    "CC-BY-NC-4.0": [
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "Licensed under CC BY-NC 4.0.",
+    ],
+    "CC-BY-ND-4.0": [
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "Licensed under CC BY-ND 4.0.",
     ],
     "proprietary": ["All rights reserved. No part of this publication may be reproduced"],
 }
