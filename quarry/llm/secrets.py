@@ -17,13 +17,17 @@ from quarry.llm.scratch import stored
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+KEYWORD = r"(?i:password|passwd|secret|token|api_?key)"
 KINDS = ["assign", "access", "hex", "random"]
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
-#: Runs that the battery looks at, and their least length.
-CANDIDATE, MIN_CANDIDATE = r"[A-Za-z0-9+/_=-]+", 16
+#: A run that is too short holds no shorter match that isn't, so these two are searched for at full length;
+#: a failing assignment can hide a longer one in itself and must be matched before it is dropped.
+LONG_ACCESS, LONG_HEX = rf"AKIA[A-Z0-9]{{{MIN_ACCESS - 4},}}", rf"[0-9a-f]{{{MIN_HEX},}}"
+
+#: Runs that the battery looks at: whole ones of a least length.
+MIN_CANDIDATE = 16
+CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}"
 #: Symbols of each encoding, in the order of their values.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -69,14 +73,8 @@ def _spans(text: Column, pattern: str, least: int, kind: str, group: int = 0) ->
     )
     kept = F.filter(zipped, lambda x: F.length(x["token"]) >= least)
     empty = F.array().cast("array<struct<start:int,end:int,kind:string,token:string>>")
-    # most texts have no long enough match: one quick look spares them the rest
-    enough = {
-        "assign": r"(?i:password|passwd|secret|token|api_?key)",
-        "access": rf"AKIA[A-Z0-9]{{{least - 4},}}",
-        "hex": rf"[0-9a-f]{{{least},}}",
-        "random": rf"[A-Za-z0-9+/_=-]{{{least},}}",
-    }[kind]
-    return F.when(F.regexp_like(text, F.lit(enough)), kept).otherwise(empty)
+    # most texts have no match: one quick look spares them the rest
+    return F.when(F.regexp_like(text, F.lit(KEYWORD if kind == "assign" else pattern)), kept).otherwise(empty)
 
 
 def _encoding(token: Column) -> Column:
@@ -213,8 +211,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col(id_col).alias("doc_id"),
         F.concat(
             _spans(text, ASSIGN, MIN_ASSIGN, "assign", 1),
-            _spans(text, ACCESS, MIN_ACCESS, "access"),
-            _spans(text, HEX, MIN_HEX, "hex"),
+            _spans(text, LONG_ACCESS, MIN_ACCESS, "access"),
+            _spans(text, LONG_HEX, MIN_HEX, "hex"),
         ).alias("base"),
         _spans(text, CANDIDATE, MIN_CANDIDATE, "random").alias("runs"),
     )
