@@ -31,6 +31,8 @@ BLOCK = 256
 COSINE = 0.2
 #: Share of a passage's words found in order, without and with its answer.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.75, 0.55, 0.8
+#: An answer of fewer words says nothing; with one, so much of the passage's term weight must be there too.
+ANSWER_WORDS, WEIGHT_WITH_ANSWER = 3, 0.5
 POWER_ROUNDS = 2
 CHARS = 400_000
 
@@ -164,11 +166,24 @@ class Searcher:
         self.latent = (matrix @ basis / norms[:, None]).T.astype(np.float32)
         self.masks = [masks_of(s) for s in passages.sequences]
         self.answer_masks = [masks_of(s) for s in passages.answers]
+        self.weights = weights
 
     def ids(self, text: str | None) -> list[int]:
         get, unknown = self.passages.terms.get, len(self.passages.terms)
         return [get(w, unknown) for w in tokens(text or "")]
 
+    def _has_answer(self, p: int, region: list[int]) -> bool:
+        answer = self.passages.answers[p]
+        if len(answer) < ANSWER_WORDS:
+            return False
+        return lcs_length(self.answer_masks[p], len(answer), region) >= ANSWER * len(answer)
+
+    def _weight_in(self, p: int, region: list[int]) -> float:
+        """Share of the passage's term weight that the region's words hold."""
+        terms = set(self.passages.sequences[p])
+        total = sum(self.weights[t] for t in terms)
+        return sum(self.weights[t] for t in terms.intersection(region)) / total
+
     def search(self, texts: list[list[int]]) -> list[tuple[int, int, float, float, bool]]:
         """(text, passage, cosine, lcs share, answer found) of the passages that are in a text; the best place of each."""
         starts, sizes = [], []
@@ -210,9 +225,8 @@ class Searcher:
             known_best = best.get((t, int(p)))
             if share < LCS_WITH_ANSWER or (known_best and known_best[1] >= share):
                 continue
-            answer = self.passages.answers[p]
-            has = bool(answer) and lcs_length(self.answer_masks[p], len(answer), region) >= ANSWER * len(answer)
-            if share >= LCS or has:
+            has = self._has_answer(p, region)
+            if share >= LCS or (has and self._weight_in(p, region) >= WEIGHT_WITH_ANSWER):
                 best[t, int(p)] = (float(cosines[at, p]), share, has)
         return [(t, p, *found) for (t, p), found in best.items()]
 
