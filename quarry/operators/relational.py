@@ -69,7 +69,7 @@ def nearest_root(paths: DataFrame, roots: DataFrame, path: str = "path", root: s
     return found.groupBy(path).agg(F.max_by(root, F.length(root)).alias(root))
 
 
-def table_digest(rows: DataFrame, columns: list[str], key: list[str], ranges: int = 64) -> DataFrame:
+def table_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row: an order-independent digest of framed rows, and their number.
 
     Rows are hashed where they are and summed by 32-bit words, so no task orders the table.

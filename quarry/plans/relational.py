@@ -311,14 +311,17 @@ SELECT count(*) AS n_rows, """
     + " FROM d"
 )
 def table_digest(spark, sf):
-    return R.table_digest(table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"], ["o_orderkey"])
+    return R.table_digest(table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"])
 
 
-@query("SELECT source, count(*) AS n, map_from_entries(list((lang, k) ORDER BY lang)) AS langs FROM (SELECT source, lang, count(*) AS k FROM documents GROUP BY ALL) GROUP BY source".replace("count(*) AS n", "CAST(sum(k) AS BIGINT) AS n"))
+@query(
+    """SELECT source, CAST(sum(k) AS BIGINT) AS n, list(lang || '=' || k ORDER BY lang) AS langs FROM (
+  SELECT source, lang, count(*) AS k FROM documents GROUP BY ALL) GROUP BY source"""
+)
 def counter_maps(spark, sf):
     per = table(spark, sf, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("k"))
-    entries = F.sort_array(F.collect_list(F.struct("lang", "k")))
-    return per.groupBy("source").agg(F.sum("k").alias("n"), F.map_from_entries(entries).alias("langs"))
+    entries = F.sort_array(F.collect_list(F.concat_ws("=", "lang", F.col("k").cast("string"))))
+    return per.groupBy("source").agg(F.sum("k").alias("n"), entries.alias("langs"))
 
 
 @query("SELECT l_shipdate, n, CAST(sum(n) OVER () AS BIGINT) AS total FROM (SELECT l_shipdate, count(*) AS n FROM lineitem GROUP BY 1)")
