@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.scratch import ship
+from quarry.llm.workers import tidy
 
 #: Words by which windows advance; a window is two strides, the check around it four.
 STRIDE = 32
@@ -28,7 +29,7 @@ STRIDE = 32
 PIECE = 64
 #: Passages that share one latent space; the rank is their number, so that none loses its rare words.
 BLOCK = 256
-COSINE = 0.2
+COSINE = 0.15
 #: Share of a passage's words found in order, without and with its answer.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.75, 0.55, 0.8
 #: An answer of fewer words says nothing; with one, so much of the passage's term weight must be there too.
@@ -84,7 +85,7 @@ def document_frequencies(docs: DataFrame, text_col: str, terms: dict[bytes, int]
         found[b""] = n
         yield pa.RecordBatch.from_pydict({"term": list(found), "n": list(found.values())})
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term binary, n long")
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "term binary, n long")
     df, total = np.zeros(len(terms)), 0
     for term, n in counted.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         if term:
@@ -121,7 +122,7 @@ def randomised_svd(spark: SparkSession, rows: list[tuple[list[int], list[float]]
             yield pa.RecordBatch.from_pydict({"part": [out.tobytes()]})
 
         total = np.zeros_like(x)
-        for (part,) in table.mapInArrow(run, "part binary").toLocalIterator():
+        for (part,) in table.mapInArrow(tidy(run), "part binary").toLocalIterator():
             total += np.frombuffer(part).reshape(x.shape)
         shared.destroy()
         return total
@@ -273,7 +274,7 @@ def decontaminate(
             matrix.append((list(counted), (value / max(np.linalg.norm(value), 1e-12)).tolist()))
         basis = randomised_svd(spark, matrix, len(passages.terms), BLOCK * 2)
         shared = spark.sparkContext.broadcast(Searcher(passages, weights, basis, cosine))
-        out = out.unionByName(rows.mapInArrow(_search_with(shared), schema))
+        out = out.unionByName(rows.mapInArrow(tidy(_search_with(shared)), schema))
     return out
 
 
