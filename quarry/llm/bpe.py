@@ -22,13 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.scratch import ship
+from quarry.llm.workers import tidy
 
 #: The last symbol of a word is its character moved up by this much: a symbol of its own, as in the vocabulary.
 END = 0x8000
 NEVER = 1 << 60
 
 #: Words of up to CACHED_LENGTH symbols are remembered, at most CACHED_WORDS of them a worker.
-CACHED_LENGTH, CACHED_WORDS = 64, 300_000
+CACHED_LENGTH, CACHED_WORDS = 64, 150_000
+#: Pairs of tokens whose compatibility a worker remembers.
+KNOWN_PAIRS = 100_000
 
 #: Below this code point NFC changes nothing and lower-casing is the same in all Unicode versions.
 SIMPLE_BELOW = 0x250
@@ -72,18 +75,18 @@ class PrefixBPE:
             if whole not in symbols and l in symbols and r in symbols:
                 symbols[whole] = symbols[l] + symbols[r]
                 made[whole] = (rank, l, r)
-        # the pieces at each side's edge, from single symbol to whole token, with the rank that used each up
-        self._right_edge: dict[int, list[tuple[int, int]]] = {}
-        self._left_edge: dict[int, list[tuple[int, int]]] = {}
+        # the pieces at each side's edge, from single symbol to whole token, each followed by the rank that used it up
+        self._right_edge: dict[int, tuple[int, ...]] = {}
+        self._left_edge: dict[int, tuple[int, ...]] = {}
         for token in symbols:
             if token not in made:
-                self._right_edge[token] = self._left_edge[token] = [(token, NEVER)]
-        self._compatible: dict[tuple[int, int], bool] = {}
+                self._right_edge[token] = self._left_edge[token] = (token, NEVER)
+        self._compatible: dict[int, bool] = {}
         automaton = ahocorasick.Automaton()
         for token in sorted(made, key=lambda t: made[t][0]):
             rank, l, r = made[token]
             for edges, part in ((self._right_edge, r), (self._left_edge, l)):
-                edges[token] = [*edges[part][:-1], (part, rank), (token, NEVER)]
+                edges[token] = (*edges[part][:-1], rank, token, NEVER)
         whole_ok = {t: True for t in symbols if t not in made}
         for token in sorted(made, key=lambda t: made[t][0]):
             rank, l, r = made[token]
@@ -101,24 +104,25 @@ class PrefixBPE:
         """Whether no merge of a rank under ``before`` fires across the boundary of tokens l and r."""
         left, right, i, j = self._right_edge[l], self._left_edge[r], 0, 0
         while True:
-            (a, a_ends), (b, b_ends) = left[i], right[j]
-            rank = self._rank.get((a, b))
+            a_ends, b_ends = left[i + 1], right[j + 1]
+            rank = self._rank.get((left[i], right[j]))
             # of merges with one rank the leftmost goes first: it beats the right token's own, not the left one's
             if rank is not None and rank < before and rank < a_ends and rank <= b_ends:
                 return False
             if a_ends == b_ends == NEVER:
                 return True
             if a_ends <= b_ends:
-                i += 1
+                i += 2
             else:
-                j += 1
+                j += 2
 
     def _fits(self, l: int, r: int) -> bool:
-        known = self._compatible.get((l, r))
+        pair = l << 32 | r
+        known = self._compatible.get(pair)
         if known is None:
-            if len(self._compatible) > 2_000_000:
+            if len(self._compatible) >= KNOWN_PAIRS:
                 self._compatible.clear()
-            known = self._compatible[l, r] = self._holds(l, r)
+            known = self._compatible[pair] = self._holds(l, r)
         return known
 
     def encode_symbols(self, word: str) -> list[int]:
@@ -243,4 +247,4 @@ def bpe_encode(
                 columns |= {"ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.string())}
             yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.components import components
 from quarry.llm.scratch import ship, sized, stored
+from quarry.llm.workers import tidy
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -184,7 +185,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "id long, node long, sketch binary"
+        tidy(run), "id long, node long, sketch binary"
     )
 
 
@@ -205,7 +206,7 @@ def _split(paths: DataFrame, threshold: float) -> DataFrame:
                         {"path": child(int(path), i, values[own, i]).view(np.int64), "node": nodes[own]}
                     )
 
-    return paths.select("path", "node", "sketch").mapInArrow(run, "path long, node long")
+    return paths.select("path", "node", "sketch").mapInArrow(tidy(run), "path long, node long")
 
 
 def _first_level(nodes: DataFrame, splits: list[tuple[int, int]]) -> DataFrame:
@@ -220,7 +221,7 @@ def _first_level(nodes: DataFrame, splits: list[tuple[int, int]]) -> DataFrame:
                     {"path": pa.array(child(path, i, values[:, i]).view(np.int64)), "node": own}
                 )
 
-    return nodes.select("node", "sketch").mapInArrow(run, "path long, node long")
+    return nodes.select("node", "sketch").mapInArrow(tidy(run), "path long, node long")
 
 
 def _near_in_bucket(members: DataFrame, least: int) -> DataFrame:
@@ -262,7 +263,7 @@ def _near_in_bucket(members: DataFrame, least: int) -> DataFrame:
         members.select("path", "block", "other", "side", "node", "low")
         .repartition("path", "block", "other")
         .sortWithinPartitions("path", "block", "other")
-        .mapInArrow(run, "a long, b long")
+        .mapInArrow(tidy(run), "a long, b long")
         .distinct()
     )
 
@@ -325,7 +326,7 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
         rows.select("comp", "block", "other", "side", "node", "copies", "items")
         .repartition("comp", "block", "other")
         .sortWithinPartitions("comp", "block", "other")
-        .mapInArrow(run, "node long, links long, near long")
+        .mapInArrow(tidy(run), "node long, links long, near long")
     )
 
 
@@ -350,7 +351,7 @@ def _with_items(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(columns | {"items": pa.array(items, pa.binary())})
 
     rest = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{rest}, items binary")
+    return rows.mapInArrow(tidy(run), f"{rest}, items binary")
 
 
 def candidate_edges(nodes: DataFrame, threshold: float, bucket: int, depth: int, recall: float) -> DataFrame:
@@ -395,7 +396,7 @@ def _low_bytes(nodes: DataFrame) -> DataFrame:
                 low = [r.tobytes() for r in (values & 0xFF).astype(np.uint8)]
                 yield pa.RecordBatch.from_pydict({"node": batch.column(0), "low": pa.array(low, pa.binary())})
 
-    return nodes.select("node", "sketch").mapInArrow(run, "node long, low binary")
+    return nodes.select("node", "sketch").mapInArrow(tidy(run), "node long, low binary")
 
 
 def jaccard_join(

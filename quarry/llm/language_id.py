@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.scratch import ship
+from quarry.llm.workers import tidy
 
 UNDETERMINED = "und"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -43,7 +44,7 @@ OUT_OF_SCRIPT = -50.0
 #: Added to every relative frequency of a feature.
 FLOOR = 1e-6
 #: Distinct words a worker remembers between documents.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 250_000
 
 
 def script_of(word: str) -> str:
@@ -202,7 +203,7 @@ def learn(
                 {"lang": [x[0] for x in part], "feature": [x[1] for x in part], "n": [x[2] for x in part]}
             )
 
-    counted = drawn.mapInArrow(count, "lang string, feature string, n long")
+    counted = drawn.mapInArrow(tidy(count), "lang string, feature string, n long")
     counted = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     # script rows are few and always wanted: they sort first
     order = [F.col("feature").startswith("\x00").desc(), F.col("n").desc(), "feature", "lang"]
@@ -252,4 +253,4 @@ def language_id(
     from pyspark.sql.types import StructType
 
     schema = StructType(rows.schema.fields[1:] + StructType.fromDDL(new).fields)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.jaccard_join import mixed, sorted_groups
 from quarry.llm.scratch import new_path, ship, stored
+from quarry.llm.workers import tidy
 
 #: A token that no text can hold: words have no space.
 END = b" end"
@@ -173,7 +174,7 @@ def merged(runs: DataFrame, buckets: int, columns: int, write: Callable, result:
             for row in write(group.column("bucket")[0].as_py(), *summed(np.concatenate(keys), np.concatenate(counts))):
                 yield pa.RecordBatch.from_pydict(row)
 
-    return runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, result)
+    return runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), result)
 
 
 @dataclass
@@ -295,7 +296,7 @@ def train(rows: DataFrame, text_col: str = "text", buckets: int | None = None) -
         yield {"bucket": [bucket], "n": [len(keys)], "total": [int(counts.sum())], "ends": [int(counts[end].sum())]}
 
     made = merged(
-        texts.mapInArrow(count_words, "bucket int, run binary"), 1 << bits, 1, write_words,
+        texts.mapInArrow(tidy(count_words), "bucket int, run binary"), 1 << bits, 1, write_words,
         "bucket long, n long, total long, ends long",
     ).collect()
     sizes = np.zeros(1 << bits, np.int64)
@@ -342,7 +343,7 @@ def train(rows: DataFrame, text_col: str = "text", buckets: int | None = None) -
 
     around = stored(
         merged(
-            texts.mapInArrow(count_pairs, "bucket int, run binary"), 1 << bits, 1, write_pairs,
+            texts.mapInArrow(tidy(count_pairs), "bucket int, run binary"), 1 << bits, 1, write_pairs,
             "bucket int, run binary, seen array<long>, pairs long",
         ),
         "around",
@@ -438,6 +439,6 @@ def score(docs: DataFrame, model: BigramModel, id_col: str = "doc_id", text_col:
             )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run,
+        tidy(run),
         "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double",
     )

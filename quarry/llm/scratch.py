@@ -68,8 +68,14 @@ def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     return docs.join(sized(dropped), key, "left_anti").select(docs.columns)
 
 
+#: Rows and bytes of an Arrow batch at most: a worker that several operators share keeps what it once took.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers unless their path already has it."""
+    """Send this package to the Python workers unless their path already has it, and bound their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = str(Path(__file__).resolve().parents[2])
     if root in os.environ.get("PYTHONPATH", "").split(":") or os.path.realpath(os.getcwd()) == root:
         return
