@@ -97,9 +97,9 @@ def quality_confusion_vs_labels(spark, sf):
 
 @query(
     r"""WITH v AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS v FROM documents),
-c AS (SELECT doc_id, v, length(v) AS n, round(len(regexp_extract_all(v, '[\p{L}\p{N}]')) / greatest(length(v), 1), 5) AS alnum,
-  round((len(regexp_extract_all(v, '[\p{Cc}\p{Co}�]')) + len(regexp_extract_all(v, 'Ã|Â|â€|ðŸ'))) / greatest(length(v), 1), 5) AS susp,
-  round(len(list_distinct(string_split(regexp_replace(v, '\s', '', 'g'), ''))) / greatest(length(regexp_replace(v, '\s', '', 'g')), 1), 5) AS uniq FROM v)
+c AS (SELECT doc_id, v, length(v) AS n, round(len(regexp_extract_all(v, '[\p{L}\p{N}]')) / greatest(length(v), 1) + 1e-9, 5) AS alnum,
+  round((len(regexp_extract_all(v, '[\p{Cc}\p{Co}�]')) + len(regexp_extract_all(v, 'Ã|Â|â€|ðŸ'))) / greatest(length(v), 1) + 1e-9, 5) AS susp,
+  round(len(list_distinct(string_split(regexp_replace(v, '\s', '', 'g'), ''))) / greatest(length(regexp_replace(v, '\s', '', 'g')), 1) + 1e-9, 5) AS uniq FROM v)
 SELECT doc_id, n AS characters, alnum AS alphanumeric_ratio, uniq AS unique_ratio,
   CASE WHEN n < 24 THEN 'too_short' WHEN susp > 0.01 THEN 'suspicious_unicode_or_mojibake' WHEN alnum < 0.35 THEN 'low_alphanumeric_density'
   WHEN n >= 40 AND uniq < 0.035 THEN 'low_character_diversity' ELSE 'usable' END AS reason FROM c WHERE n < 3000"""
