@@ -29,7 +29,7 @@ END = 0x8000
 NEVER = 1 << 60
 
 #: Words of up to CACHED_LENGTH symbols are remembered, at most CACHED_WORDS of them a worker.
-CACHED_LENGTH, CACHED_WORDS = 64, 150_000
+CACHED_LENGTH, CACHED_WORDS = 64, 100_000
 #: Pairs of tokens whose compatibility a worker remembers.
 KNOWN_PAIRS = 100_000
 
