@@ -25,9 +25,11 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: a failing assignment can hide a longer one in itself and must be matched before it is dropped.
 LONG_ACCESS, LONG_HEX = rf"AKIA[A-Z0-9]{{{MIN_ACCESS - 4},}}", rf"[0-9a-f]{{{MIN_HEX},}}"
 
-#: Runs that the battery looks at: whole ones of a least length.
+#: Runs that the battery looks at: whole ones of a least length, padding included.  An equals sign within a run
+#: parts it, as a name from its value; only one that no symbol follows is padding.
 MIN_CANDIDATE = 16
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}"
+SYMBOL = "[A-Za-z0-9+/_-]"
+CANDIDATE = rf"(?<!{SYMBOL})(?=[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE}}}){SYMBOL}+(?:=++(?!{SYMBOL}))?"
 #: Symbols of each encoding, in the order of their values.
 ALPHABETS = {
     "hex": "0123456789abcdef",

@@ -62,3 +62,15 @@ def test_cut_bounds_false_discoveries(spark):
     rows = [("hex", 8, i / 1000) for i in range(1000)] + [("hex", 8, 0.0)] * 5000
     (encoding, length, cut), = cuts(spark.createDataFrame(rows, "encoding string, class int, p double"))
     assert (encoding, length) == ("hex", 8) and 0 < cut <= 0.1
+
+
+def test_values_after_an_equals_sign_are_reported(spark):
+    found = lambda rows: [r.spans for r in scan_secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    random, words = tokens(200, 40, "random"), tokens(200, 40, "words")
+    rows = [f"client_key={t}" for t in random] + [f"client_key={t}" for t in words]
+    rows += [f"GET /a?AWS_S3_ACCESS_KEY_ID_NO_BLANKS={t}==&b={t}=\n" for t in random]
+    spans = found(rows)
+    assert len([s for s in spans[:200] if s == "random:11:51"]) >= 170 and not any(spans[200:400])
+    assert len([s for s in spans[400:] if "random:38:80" in s and "random:83:124" in s]) >= 170
+    plain = found([f"see {t}= here" for t in random])  # padding without an assignment is found as before
+    assert len([s for s in plain if s == "random:4:45"]) >= 170
