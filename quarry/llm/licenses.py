@@ -63,6 +63,52 @@ TEMPLATES = {
         "Licensed under CC BY-ND 4.0.",
     ],
     "proprietary": ["All rights reserved. No part of this publication may be reproduced"],
+    "GPL-2.0": [
+        "terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+        "GNU General Public License, version 2",
+    ],
+    "LGPL-2.1": [
+        "terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+        "GNU Lesser General Public License, version 2.1",
+    ],
+    "LGPL-3.0": [
+        "terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "GNU Lesser General Public License, version 3",
+    ],
+    "AGPL-3.0": [
+        "terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "GNU Affero General Public License, version 3",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "Licensed under the ISC License.",
+    ],
+    "CC0-1.0": [
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to",
+        "Creative Commons Legal Code CC0 1.0 Universal",
+        "CC0 1.0 Universal (CC0 1.0) Public Domain Dedication",
+    ],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "EPL-2.0": [
+        "made available under the terms of the Eclipse Public License 2.0",
+        "made available under the terms of the Eclipse Public License v2.0",
+        "Eclipse Public License - v 2.0",
+    ],
+}
+# titles, by which full texts are found too; the GNU ones above are titles as well as notices
+TEMPLATES["Apache-2.0"] += ["Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"]
+TEMPLATES["GPL-3.0"] += ["GNU General Public License, version 3"]
+TEMPLATES["MPL-2.0"] += ["Mozilla Public License Version 2.0"]
+
+#: Notices too short for a shingle; their words are looked for as they are.
+NOTICES = {
+    "proprietary": ["All rights reserved."],
+    "MIT": ["The MIT License", "SPDX-License-Identifier: MIT"],
+    "ISC": ["The ISC License", "SPDX-License-Identifier: ISC"],
+    "Apache-2.0": ["Apache License 2.0"],
+    "Unlicense": ["SPDX-License-Identifier: Unlicense"],
 }
 
 
@@ -123,12 +169,13 @@ def scan_licenses(
     size: int = SHINGLE,
     containment: float = CONTAINMENT,
     bands: int = BANDS,
+    notices: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """One row per document and license found: doc_id, license, containment, first_word, last_word, windows.
 
     containment is that of the best template and window, words are counted from 0 and the range spans the
-    license's shingles in all matching windows.  A template of fewer than ``size`` words is never found;
-    null, empty and short texts hold none.  Texts are scanned whole.  Repeated rows (one id and text) are
+    license's shingles in all matching windows.  A template of fewer than ``size`` words is never found; a
+    notice is found where all its words follow each other, each place a window and containment 1.  Null, empty and short texts hold none.  Texts are scanned whole.  Repeated rows (one id and text) are
     one document, and so are rows with a null id.  An empty table gives an empty result; other columns are
     ignored.  The template table is a parameter of fixed size, so its broadcast doesn't grow with the data.
     """
@@ -139,10 +186,13 @@ def scan_licenses(
     starts = sorted({x for r in known for x in r["starts"]})
     classes = sorted({r["class"] for r in known})
     empty = "doc_id long, license string, containment double, first_word long, last_word long, windows long"
-    if not items:
+    if not items and not notices:
         return spark.createDataFrame([], empty)
 
     hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), _hashes(words(F.col(text_col))).alias("h"))
+    exact = _notice_places(hashed, notices) if notices else None
+    if not items:
+        return _per_license(exact)
     # the lambda binds the hashes once; only words that begin a template shingle are hashed further
     found = F.flatten(
         F.transform(
@@ -192,11 +242,62 @@ def scan_licenses(
         "window",
         share.alias("containment"),
         F.array_min(F.transform(inside, lambda p: p["at"])).alias("first"),
-        F.array_max(F.transform(inside, lambda p: p["at"])).alias("last"),
+        (F.array_max(F.transform(inside, lambda p: p["at"])) + size - 1).alias("last"),
     ).filter(F.col("containment") >= containment)
+    return _per_license(checked.unionByName(exact) if notices else checked)
+
+
+def _notice_places(hashed: DataFrame, notices: dict[str, list[str]]) -> DataFrame:
+    """Rows as those of checked windows, one for every place at which all words of a notice follow each other.
+
+    The class is the notice's negative number of words, which no template has.
+    """
+    rows = [(name, text) for name, texts in sorted(notices.items()) for text in texts]
+    table = hashed.sparkSession.createDataFrame(rows, "license string, text string").select(
+        "license", _hashes(words(F.col("text"))).alias("h")
+    )
+    wanted: dict[tuple[str, int], list[list[int]]] = {}
+    for r in table.collect():  # the parameter itself
+        if r["h"]:
+            wanted.setdefault((r["license"], len(r["h"])), []).append(r["h"])
+    found = F.flatten(
+        F.array(
+            *[
+                F.transform(
+                    F.filter(_places(F.size("h"), n), lambda i: _follow(F.col("h"), i, own)),
+                    lambda i: F.struct(F.lit(name).alias("license"), i.alias("at"), F.lit(n).alias("n")),
+                )
+                for (name, n), own in wanted.items()
+            ]
+        )
+    )
+    places = hashed.select("doc_id", F.explode(found).alias("x"))
+    return places.select(
+        "doc_id",
+        "x.license",
+        (-F.col("x.n")).alias("class"),
+        F.col("x.at").cast("long").alias("window"),
+        F.lit(1.0).alias("containment"),
+        F.col("x.at").alias("first"),
+        (F.col("x.at") + F.col("x.n") - 1).alias("last"),
+    )
+
+
+def _follow(hashes: Column, i: Column, sequences: list[list[int]]) -> Column:
+    """Whether one of the sequences stands at place i."""
+    found = F.lit(False)
+    for s in sequences:
+        same = F.lit(True)
+        for k, x in enumerate(s):
+            same = same & (F.get(hashes, i + k) == F.lit(x))
+        found = found | same
+    return found
+
+
+def _per_license(checked: DataFrame) -> DataFrame:
     return checked.groupBy("doc_id", "license").agg(
         F.max("containment").alias("containment"),
         F.min("first").cast("long").alias("first_word"),
-        (F.max("last") + size - 1).cast("long").alias("last_word"),
+        F.max("last").cast("long").alias("last_word"),
         F.count_distinct("class", "window").alias("windows"),
     )

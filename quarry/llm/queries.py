@@ -14,7 +14,7 @@ from quarry.llm.decontaminate import decontaminate
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.jaccard_join import jaccard_join
 from quarry.llm.language_id import fold, language_id, learn
-from quarry.llm.licenses import scan_licenses
+from quarry.llm.licenses import NOTICES, scan_licenses
 from quarry.llm.line_dedup import dedup_lines
 from quarry.llm.secrets import scan_secrets
 
@@ -70,7 +70,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(_table(spark, sf_dir, "documents"))
+    return scan_licenses(_table(spark, sf_dir, "documents"), notices=NOTICES)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

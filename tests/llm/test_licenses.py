@@ -1,7 +1,9 @@
 import random
 import re
 
-from quarry.llm.licenses import TEMPLATES, scan_licenses
+from quarry.llm.licenses import NOTICES, TEMPLATES, scan_licenses
+from quarry.llm.queries import op9_license_scan
+from tests.llm.conftest import SF
 
 
 def plain(texts):
@@ -49,3 +51,47 @@ def test_hard_rows(spark, hard, empty):
     out = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.license, r.first_word) for r in out) == [("1", "MIT", 0), ("3", "MIT", 20000), ("None", "MIT", 0)]
     assert scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates={"x": ["too short"]}).count() == 0
+
+
+#: The license lines planted in the given documents.
+PLANTED = {
+    "All rights reserved.": "proprietary",
+    "Released under the MIT License.": "MIT",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+}
+
+
+def test_every_license_line_in_the_documents_is_found(spark, docs):
+    want = {(r.doc_id, name) for r in docs.collect() for line, name in PLANTED.items() if line in (r.text or "")}
+    got = {(r.doc_id, r.license) for r in op9_license_scan(spark, SF).collect()}
+    assert got == want and {"proprietary"} < {name for _, name in want}
+
+
+def test_notices_and_other_license_families(spark):
+    texts = {
+        1: ("Copyright 2020 A. All Rights\nReserved", {"proprietary"}),
+        2: ("all rights were reserved, and rights reserved", set()),
+        3: ("you can redistribute it under the terms of the GNU Lesser General Public License as published by the Free "
+            "Software Foundation; either version 2.1 of the License, or later", {"LGPL-2.1"}),
+        4: ("GNU AFFERO GENERAL PUBLIC LICENSE\n Version 3, 19 November 2007\n\n Copyright", {"AGPL-3.0"}),
+        5: ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n", {"GPL-2.0"}),
+        6: ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies.", {"ISC"}),
+        7: ("This is free and unencumbered software released into the public domain.", {"Unlicense"}),
+        8: ("This program is made available under the terms of the Eclipse Public License 2.0 which", {"EPL-2.0"}),
+        9: ("Creative Commons Legal Code\n\nCC0 1.0 Universal\n", {"CC0-1.0"}),
+        11: ("under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the "
+             "License", set()),  # the end of a GPL-3.0 notice is neither of the other two
+        12: ("GNU LESSER GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n", {"LGPL-3.0"}),
+        13: ("GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n", {"GPL-3.0"}),
+        10: ("all rights reserved " * 3, {"proprietary"}),
+    }
+    table = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    out = scan_licenses(table, notices=NOTICES).collect()
+    assert {(r.doc_id, r.license) for r in out} == {(i, n) for i, (_, names) in texts.items() for n in names}
+    places = {r.doc_id: (r.first_word, r.last_word, r.containment, r.windows) for r in out}
+    assert places[1] == (3, 5, 1.0, 1) and places[10] == (0, 8, 1.0, 3)
+    only = scan_licenses(table, templates={}, notices=NOTICES).collect()
+    assert {r.doc_id for r in only} == {1, 10}
