@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +24,11 @@ from quarry.llm.workers import tidy
 
 #: Words by which windows advance; a window is two strides, the check around it four.
 STRIDE = 32
-#: A longer benchmark item is searched for in pieces of this many words.
-PIECE = 64
-#: Passages that share one latent space; the rank is their number, so that none loses its rare words.
+#: A longer benchmark item is searched for in pieces of this many words, which begin at every so many words: a run of
+#: LCS x PIECE words of the item lies, wherever it begins, within one piece or fills as much of one.
+PIECE, PIECE_STRIDE = 64, 16
+#: Passages that share one latent space, unless one item has more; the rank is their number, so that none loses its
+#: rare words.
 BLOCK = 256
 COSINE = 0.15
 #: Share of a passage's words found in order, without and with its answer.
@@ -52,6 +53,11 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().translate(_TO_SPACE).split()
 
 
+def piece_starts(n: int) -> list[int]:
+    """Where the pieces of an item of n words begin; the last one ends with the item."""
+    return [*range(0, max(0, n - PIECE), PIECE_STRIDE), max(0, n - PIECE)]
+
+
 class Passages:
     """One block of benchmark passages: their terms, and what checks them."""
 
@@ -63,9 +69,8 @@ class Passages:
         for item_id, text in items:
             ids = [self.terms.setdefault(w, len(self.terms)) for w in tokens(text)]
             last = [self.terms[w] for w in tokens(_SENTENCE.split(text.strip())[-1])]
-            starts = range(0, max(1, len(ids)), PIECE) if len(ids) > PIECE else [0]
-            for s in starts:
-                piece = ids[max(0, min(s, len(ids) - PIECE)) : s + PIECE] if len(ids) > PIECE else ids
+            for s in piece_starts(len(ids)):
+                piece = ids[s : s + PIECE]
                 if piece:
                     self.item_ids.append(item_id)
                     self.sequences.append(piece)
@@ -235,7 +240,16 @@ class Searcher:
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     items = rows.filter("t is not null").orderBy("i", "t").toLocalIterator()
-    while block := [(r.i, r.t) for r in islice(items, BLOCK)]:
+    block: list[tuple[int, str]] = []
+    size = 0
+    for r in items:
+        pieces = len(piece_starts(len(tokens(r.t))))
+        if block and size + pieces > BLOCK:
+            yield block
+            block, size = [], 0
+        block.append((r.i, r.t))
+        size += pieces
+    if block:
         yield block
 
 
@@ -253,7 +267,7 @@ def decontaminate(
     Of an item's pieces and places in a document the one with the largest LCS share is reported.  Null and
     empty texts on either side match nothing; a repeated item is reported once, a repeated document in
     each of its rows; an empty table gives an empty result.  Other columns are ignored.  The benchmark is a
-    query set taken in blocks of BLOCK items, each against all documents; all windows of whole texts are
+    query set taken in blocks of BLOCK passages, each against all documents; all windows of whole texts are
     searched, and nothing is shuffled but the term counts.
     """
     spark = docs.sparkSession
@@ -272,7 +286,7 @@ def decontaminate(
             counted = Counter(sequence)
             value = np.array([n * weights[t] for t, n in counted.items()])
             matrix.append((list(counted), (value / max(np.linalg.norm(value), 1e-12)).tolist()))
-        basis = randomised_svd(spark, matrix, len(passages.terms), BLOCK * 2)
+        basis = randomised_svd(spark, matrix, len(passages.terms), len(matrix))
         shared = spark.sparkContext.broadcast(Searcher(passages, weights, basis, cosine))
         out = out.unionByName(rows.mapInArrow(tidy(_search_with(shared)), schema))
     return out

@@ -78,3 +78,23 @@ def test_a_long_item_is_found_in_pieces(spark):
         spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
     ).collect()
     assert [(r.doc_id, r.item_id) for r in found] == [(0, 7)]
+
+
+def test_excerpts_of_a_long_item_are_found_at_every_offset(spark):
+    item = [f"w{i}" for i in range(210)]
+    rows = [(1000 * n + at, "before " * 40 + " ".join(item[at : at + n]) + " after" * 40) for n in (48, 64, 82) for at in range(210 - n + 1)]
+    found = decontaminate(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    ).collect()
+    assert sorted(r.doc_id for r in found) == [i for i, _ in rows] and {r.item_id for r in found} == {7}
+
+
+def test_many_long_items_keep_full_rank(spark):
+    rng = random.Random(5)
+    items = [(i, [f"w{rng.randint(0, 20000)}" for _ in range(400)]) for i in range(30)]  # 660 pieces
+    rows = [(i, "before " * 40 + " ".join(words[170:230]) + " after" * 40) for i, words in items]
+    found = decontaminate(
+        spark.createDataFrame(rows, "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(words)) for i, words in items], "item_id long, text string"),
+    ).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i, _ in items]
