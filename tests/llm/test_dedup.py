@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import pytest
@@ -44,9 +45,9 @@ def test_jaccard_join_against_all_pairs(docs, empty):
     assert jaccard_join(empty).count() == 0
 
 
-@pytest.mark.parametrize("bucket,block", [(64, 512), (4, 8)])
-def test_jaccard_join_of_a_large_group(spark, bucket, block):
-    """Near copies that only block pairs can compare, and copies of one of them."""
+@pytest.mark.parametrize("bucket,in_task,block", [(64, 4096, 128), (4, 64, 8), (4, 8, 16)])
+def test_jaccard_join_of_a_large_group(spark, bucket, in_task, block):
+    """Near copies in one block or many, in buckets that a task holds or not, and copies of one of them."""
     words = [f"w{i}" for i in range(120)]
     rows = []
     for i in range(90):
@@ -55,7 +56,25 @@ def test_jaccard_join_of_a_large_group(spark, bucket, block):
         rows.append((i, " ".join(own)))
     rows += [(100 + i, rows[5][1].upper()) for i in range(6)] + [(200 + i, " ".join(f"{i}y{k}" for k in range(50))) for i in range(30)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join(table, bucket=bucket, block=block).collect()}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join(table, bucket=bucket, in_task=in_task, block=block).collect()}
+    assert got == brute.jaccard(dict(rows))
+
+
+@pytest.mark.parametrize("in_task", [4096, 16])
+def test_jaccard_join_of_loose_groups(spark, in_task):
+    """Chains and families on both sides of the threshold, around hubs that are near copies of some only."""
+    rng = random.Random(4)
+    rows = []
+    for family in range(8):
+        words = [f"f{family}w{i}" for i in range(150)]
+        for i in range(60):
+            own = list(words)
+            for _ in range(rng.randint(0, 9)):
+                own[rng.randrange(150)] = f"x{family}y{i}z{rng.random()}"
+            rows.append((len(rows), " ".join(own)))
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join(table, bucket=8, in_task=in_task, block=32).collect()}
     assert got == brute.jaccard(dict(rows))
 
 
