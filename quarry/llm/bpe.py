@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -28,9 +29,9 @@ from quarry.llm.workers import tidy
 END = 0x8000
 NEVER = 1 << 60
 
-#: Words of up to CACHED_LENGTH symbols are remembered, at most CACHED_WORDS of them a worker.
+#: Words of up to CACHED_LENGTH characters are remembered, at most 2 * CACHED_WORDS of them a worker.
 CACHED_LENGTH, CACHED_WORDS = 64, 100_000
-#: Pairs of tokens whose compatibility a worker remembers.
+#: Pairs of tokens whose compatibility a worker remembers: 2 * KNOWN_PAIRS at most.
 KNOWN_PAIRS = 100_000
 
 #: Below this code point NFC changes nothing and lower-casing is the same in all Unicode versions.
@@ -81,7 +82,7 @@ class PrefixBPE:
         for token in symbols:
             if token not in made:
                 self._right_edge[token] = self._left_edge[token] = (token, NEVER)
-        self._compatible: dict[int, bool] = {}
+        self._compatible = _Remembered(lambda pair: self._holds(pair >> 32, pair & 0xFFFFFFFF), KNOWN_PAIRS)
         automaton = ahocorasick.Automaton()
         for token in sorted(made, key=lambda t: made[t][0]):
             rank, l, r = made[token]
@@ -96,7 +97,7 @@ class PrefixBPE:
                 automaton.add_word(text, (len(text), token))
         automaton.make_automaton()
         self._automaton = automaton
-        self._ids = _Remembered(self._word_ids)
+        self._ids = _Remembered(self._word_ids, CACHED_WORDS)
         self._slow = None
         self._path = path
 
@@ -116,27 +117,18 @@ class PrefixBPE:
             else:
                 j += 2
 
-    def _fits(self, l: int, r: int) -> bool:
-        pair = l << 32 | r
-        known = self._compatible.get(pair)
-        if known is None:
-            if len(self._compatible) >= KNOWN_PAIRS:
-                self._compatible.clear()
-            known = self._compatible[pair] = self._holds(l, r)
-        return known
-
     def encode_symbols(self, word: str) -> list[int]:
         """Ids of one word given as symbols, its last one already marked."""
         n = len(word)
         last, came_from = [0] * (n + 1), [-1] * (n + 1)
         came_from[0] = 0
-        fits = self._fits
+        fits = self._compatible
         for end, (length, token) in self._automaton.iter(word):
             at = end + 1
             if came_from[at] >= 0:
                 continue  # the one token is found; longer matches come first
             start = at - length
-            if start == 0 or (came_from[start] >= 0 and fits(last[start], token)):
+            if start == 0 or (came_from[start] >= 0 and fits[last[start] << 32 | token]):
                 last[at], came_from[at] = token, start
         ids, at = [], n
         while at:
@@ -144,11 +136,10 @@ class PrefixBPE:
             at = came_from[at]
         return ids[::-1]
 
-    def _word_ids(self, word: str) -> tuple[bytes, str]:
-        table = self._table
-        symbols = "".join([table[b] for b in word.encode()])
+    def _word_ids(self, word: str) -> bytes:
+        symbols = word.encode().decode("latin-1").translate(self._table)
         ids = self.encode_symbols(symbols[:-1] + chr(ord(symbols[-1]) + END))
-        return b"".join([i.to_bytes(4, "little") for i in ids]), self.decode(ids)
+        return array("I", ids).tobytes()
 
     def words(self, text: str) -> list[str]:
         """Words of one stretch without special tokens, after the vocabulary's normaliser."""
@@ -165,24 +156,27 @@ class PrefixBPE:
             ]
         return self._slow(text)
 
-    def encode_packed(self, text: str | None) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text."""
+    def encode_packed(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if not text:
-            return b"", ""
-        known, ids, decoded = self._ids, [], []
-        for part in self._split_special.split(text) if "<|" in text else (text,):
+            return b""
+        known = self._ids.__getitem__
+        if "<|" not in text:
+            return b"".join(map(known, self.words(text)))
+        parts = []
+        for part in self._split_special.split(text):
             if part in self.special:
-                ids.append(self.special[part].to_bytes(4, "little"))
-                decoded.append(part)
+                parts.append(self.special[part].to_bytes(4, "little"))
             elif part:
-                found = [known[w] for w in self.words(part)]
-                ids += [x[0] for x in found]
-                decoded += [x[1] for x in found]
-        return b"".join(ids), " ".join(decoded)
+                parts += map(known, self.words(part))
+        return b"".join(parts)
 
     def encode(self, text: str | None) -> list[int]:
-        packed = self.encode_packed(text)[0]
-        return [int.from_bytes(packed[i : i + 4], "little") for i in range(0, len(packed), 4)]
+        return array("I", self.encode_packed(text)).tolist()
+
+    def decode_packed(self, packed: bytes) -> str:
+        """The decoded text of ids as encode_packed() gives them."""
+        return " ".join(map(self.token_of.__getitem__, array("I", packed)))
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by one space, as the library does for a vocabulary without a decoder."""
@@ -190,18 +184,26 @@ class PrefixBPE:
 
 
 class _Remembered(dict):
-    """A bounded memory of words: emptied when full, so that its size never follows the corpus."""
+    """A memory of two generations, so that its size never follows the corpus and what recurs stays.
+
+    Values made are young.  When ``most`` are young, they become the old ones and the old ones are
+    forgotten, but for those asked for again since: these are young by then.
+    """
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
-
-    def __missing__(self, word: str):
-        value = self.make(word)
-        if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = value
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if isinstance(key, str) and len(key) > CACHED_LENGTH:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
@@ -232,11 +234,8 @@ def bpe_encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for batch in batches:
-            ids, decoded = [], []
-            for text in batch.column(1):
-                one, two = bpe.encode_packed(text.as_py())
-                ids.append(one)
-                decoded.append(two)
+            ids = [bpe.encode_packed(text.as_py()) for text in batch.column(1)]
+            decoded = list(map(bpe.decode_packed, ids))
             columns = {
                 "doc_id": batch.column(0),
                 "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),

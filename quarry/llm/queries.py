@@ -24,8 +24,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
-    """Place of a public vocabulary file; the folder can be set by QUARRY_TOKENIZERS."""
-    return os.path.join(os.environ.get("QUARRY_TOKENIZERS", "/opt/tokenizers"), name)
+    """Place of a public vocabulary file; another folder can be set by QUARRY_TOKENIZERS."""
+    folder = os.environ.get("QUARRY_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,14 @@ def test_operator(spark, docs, hard, empty):
         )
         assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out) == expected
     assert bpe_encode(empty, vocabulary()).count() == 0
+
+
+def test_a_small_memory_changes_nothing():
+    lib, rng = library(), random.Random(5)
+    mine = PrefixBPE(vocabulary())
+    mine._ids.most = mine._compatible.most = 3
+    words = ["".join(rng.choice("etaoin") for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    for _ in range(200):
+        text = " ".join(rng.choice(words) for _ in range(12))
+        assert mine.encode(text) == lib.encode(text, add_special_tokens=False).ids
+        assert len(mine._ids) + len(mine._ids.old) <= 6
