@@ -1,6 +1,8 @@
 import random
 
-from quarry.llm.decontaminate import decontaminate, lcs_length, masks_of, randomised_svd
+import re
+
+from quarry.llm.decontaminate import ANSWER, ANSWER_WORDS, LCS, LCS_WITH_ANSWER, STRIDE, decontaminate, lcs_length, masks_of, randomised_svd, tokens
 from tests.llm import brute
 
 
@@ -89,7 +91,7 @@ def test_excerpts_of_a_long_item_are_found_at_every_offset(spark):
     assert sorted(r.doc_id for r in found) == [i for i, _ in rows] and {r.item_id for r in found} == {7}
 
 
-def test_many_long_items_keep_full_rank(spark):
+def test_many_long_items_share_one_space(spark):
     rng = random.Random(5)
     items = [(i, [f"w{rng.randint(0, 20000)}" for _ in range(400)]) for i in range(30)]  # 660 pieces
     rows = [(i, "before " * 40 + " ".join(words[170:230]) + " after" * 40) for i, words in items]
@@ -98,3 +100,50 @@ def test_many_long_items_keep_full_rank(spark):
         spark.createDataFrame([(i, " ".join(words)) for i, words in items], "item_id long, text string"),
     ).collect()
     assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i, _ in items]
+
+
+def plain(rows, items):
+    """(doc, item) of all windows and items that the checks accept, without any space; items of up to 64 words."""
+    found = set()
+    for doc, text in rows:
+        words = tokens(text)
+        for item, passage in items:
+            own = tokens(passage)
+            answer = tokens(re.split(r"(?<=[.!?])\s+", passage.strip())[-1])
+            for at in range(0, len(words), STRIDE):
+                region = words[max(0, at - STRIDE) : at + 3 * STRIDE]
+                share = brute.lcs(own, region) / len(own)
+                told = len(answer) >= ANSWER_WORDS and brute.lcs(answer, region) >= ANSWER * len(answer)
+                if share >= LCS or (share >= LCS_WITH_ANSWER and told):
+                    found.add((doc, item))
+    return found
+
+
+def test_recall_against_all_windows_and_items(spark):
+    """Paraphrases down to the checks' limits, in words and in a script without blanks, with other blanks and quotes."""
+    rng = random.Random(12)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    vocabulary = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(1500)]
+    common = vocabulary[:60]
+    word = lambda: rng.choice(common if rng.random() < 0.5 else vocabulary)
+    sentence = lambda n: " ".join(word() for _ in range(n)) + ". "
+    items = [(i, sentence(rng.randint(15, 40)) + sentence(6).strip()) for i in range(80)]
+    ideographs = [chr(0x4E00 + k) for k in range(300)]
+    items += [(100 + i, "".join(rng.choice(ideographs) for _ in range(40))) for i in range(10)]
+    rows = []
+    for i, (_, passage) in enumerate(items):
+        host = [word() for _ in range(rng.randint(0, 150))]
+        at = rng.randrange(len(host) + 1)
+        if i < 80:
+            words = vary(passage.split(), rng, rng.choice([0, 0.1, 0.2, 0.3]))
+            blank = rng.choice([" ", "\u00a0", " \u00ab"])
+            rows.append((i, " ".join(host[:at]) + " " + blank.join(words) + " " + " ".join(host[at:])))
+        else:
+            rows.append((i, "".join(rng.choice(ideographs) for _ in range(60)) + passage + "".join(rng.choice(ideographs) for _ in range(60))))
+    rows += [(1000 + i, sentence(300)) for i in range(40)]
+    found = decontaminate(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    got, want = {(r.doc_id, r.item_id) for r in found}, plain(rows, items)
+    assert len(want) >= 60 and not got - want and len(got) >= 0.95 * len(want)
+    assert all(-1.001 <= r.cosine <= 1.001 for r in found)
