@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.scratch import stored
+from quarry.llm.scratch import sized, stored
 
 #: A line that introduces a quote in mail clients' usual forms, in four languages.
 ATTRIBUTION = r"^\s*(on .{1,200} wrote|am .{1,200} schrieb.{0,100}|le .{1,200} a écrit|el .{1,200} escribió)\s*:\s*$"
-#: Turns of one conversation that a block holds at most.
+#: Turns of one conversation that a row holds at most, and rows of one turn.
 BLOCK = 256
 
 
@@ -108,6 +108,40 @@ def threads(parsed: DataFrame, replies: DataFrame) -> DataFrame:
             return links.withColumnRenamed("up", "thread_root")
 
 
+def placed(rows: DataFrame, block: int) -> DataFrame:
+    """rows with first_root, tail, turn_block and spread: the place of a message, in thread order within a conversation.
+
+    A thread that goes on after the ``block`` turns in which it began has rows of its own, cut by its
+    messages' turns.  The other threads that began in these turns stand together, cut where such a long
+    thread began: they come after it.
+    """
+    root_block, turn_block = F.floor(F.col("thread_root") / block), F.floor(F.col("turn") / block)
+    known = rows.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    long = known.filter(turn_block > root_block).select("conv_id", "thread_root").distinct()
+    # as many roots as turns at most
+    long = stored(long.groupBy("conv_id", root_block.alias("root_block")).agg(F.collect_list("thread_root").alias("long")), "long-threads")
+    crowded = known.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    crowded = stored(crowded.select("conv_id", "turn", F.ceil(F.col("n") / block).alias("shares")), "crowded-turns")
+    rows = rows.withColumn("root_block", root_block).join(sized(long), ["conv_id", "root_block"], "left")
+    rows = rows.join(sized(crowded), ["conv_id", "turn"], "left")
+    own = F.coalesce(F.array_contains("long", F.col("thread_root")), F.lit(False))
+    before = F.array_max(F.filter("long", lambda x: x < F.col("thread_root")))
+    hashed = F.xxhash64("role", "lines")
+    return (
+        rows.withColumn("tail", ~own)
+        .withColumn("first_root", F.when(own, F.col("thread_root")).otherwise(F.coalesce(before, F.col("root_block") * block)))
+        .withColumn("turn_block", F.when(own, turn_block).otherwise(F.col("root_block")))
+        .withColumn(
+            "spread",
+            F.when(F.col("turn").isNull() | F.col("conv_id").isNull(), F.pmod(hashed, F.lit(65536)))
+            .when(F.col("shares").isNotNull(), F.pmod(hashed, F.col("shares")))
+            .otherwise(0)
+            .cast("int"),
+        )
+        .drop("long", "shares", "root_block")
+    )
+
+
 def format_chat(
     messages: DataFrame,
     conv_col: str = "conv_id",
@@ -116,17 +150,17 @@ def format_chat(
     text_col: str = "text",
     block: int = BLOCK,
 ) -> DataFrame:
-    """Reply-ordered conversations in blocks: conv_id, root_block, turn_block, n_messages, n_quoted, n_linked,
+    """Reply-ordered conversations: conv_id, first_root, tail, turn_block, spread, n_messages, n_quoted, n_linked,
     messages (turn, role, reply_to, depth, text) and chat.
 
-    A message without a linked quote begins a thread; its replies follow it in turn order.  Blocks hold the
-    threads that begin in one range of ``block`` turns, cut again by the messages' own turns, so that no
-    row grows with the conversation; sorted by conv_id, root_block and turn_block they give the whole.
-    chat has one paragraph a message: the role in angle brackets and bars, then the text without quotes.
-    Equal rows count once; of different rows of one turn all are kept, in order of role and text.  A null
-    text is empty, a null role is written as unknown; rows with a null conversation or turn can't be
-    ordered and form blocks with null keys, by role and text.  Empty tables give empty results; other
-    columns are ignored.
+    A message without a linked quote begins a thread; its replies follow it in turn order.  A conversation
+    is cut into rows of at most ``block`` turns, so that no row grows with it; sorted by conv_id, first_root,
+    tail and turn_block they give it in thread order.  Of a turn with more than ``block`` different rows the
+    rows are dealt over several, told apart by spread.  chat has one paragraph a message: the role in angle
+    brackets and bars, then the text without quotes.  Equal rows count once; of different rows of one turn all
+    are kept, in order of role and text.  A null text is empty, a null role is written as unknown; rows with a
+    null conversation or turn can't be ordered and form rows with null places, by role and text.  Empty tables
+    give empty results; other columns are ignored.
     """
     parsed = stored(parse_messages(messages, conv_col, turn_col, role_col, text_col), "messages")
     linked = threads(parsed, link_replies(parsed))
@@ -142,12 +176,8 @@ def format_chat(
         F.coalesce("depth", F.lit(0).cast("long")).alias("depth"),
         text.alias("text"),
     )
-    spread = F.when(F.col("turn").isNull() | F.col("conv_id").isNull(), F.pmod(F.xxhash64("role", "lines"), F.lit(65536)))
-    blocks = rows.groupBy(
-        "conv_id",
-        F.floor(F.col("thread_root") / block).alias("root_block"),
-        F.floor(F.col("turn") / block).alias("turn_block"),
-        spread.alias("spread"),
+    blocks = placed(rows, block).groupBy(
+        "conv_id", "first_root", "tail", "turn_block", "spread"
     ).agg(
         F.count(F.lit(1)).alias("n_messages"),
         F.sum(quoted).alias("n_quoted"),
@@ -157,8 +187,10 @@ def format_chat(
     said = F.transform("messages", lambda x: F.concat(F.lit("<|"), x["role"], F.lit("|>\n"), x["text"]))
     return blocks.select(
         "conv_id",
-        "root_block",
+        "first_root",
+        "tail",
         "turn_block",
+        "spread",
         "n_messages",
         "n_quoted",
         "n_linked",

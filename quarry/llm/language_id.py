@@ -63,7 +63,7 @@ def fold(doc_id: Column, folds: int = 4, held: int = 2) -> Column:
 
 
 class LanguageModel:
-    """Feature scores of each language; at most max_features rows of one float per language."""
+    """Feature scores of each language: one row a feature of the sample, one float a language."""
 
     def __init__(self, counts: list[tuple[str, str, int]], languages: list[str]):
         self.languages = languages
@@ -170,13 +170,11 @@ class Labeller:
         return self.model.languages[label], float(share * posterior), spans
 
 
-def learn(
-    rows: DataFrame, text_col: str, lang_col: str, docs_per_language: int = 3000, max_features: int = 100_000
-) -> LanguageModel:
+def learn(rows: DataFrame, text_col: str, lang_col: str, docs_per_language: int = 3000) -> LanguageModel:
     """Fit on a bounded sample: about docs_per_language rows of each language, drawn by a hash of the text.
 
-    Rows with a null text or language teach nothing.  Features beyond max_features, the rarest, are left
-    out; both bounds hold the model's size whatever the corpus.
+    Rows with a null text or language teach nothing.  All features of the sample are kept; the sample holds
+    the model's size whatever the corpus.
     """
     ship(rows.sparkSession)
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -205,10 +203,7 @@ def learn(
 
     counted = drawn.mapInArrow(tidy(count), "lang string, feature string, n long")
     counted = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    # script rows are few and always wanted: they sort first
-    order = [F.col("feature").startswith("\x00").desc(), F.col("n").desc(), "feature", "lang"]
-    kept = counted.orderBy(*order).limit(max_features).collect()
-    return LanguageModel([tuple(r) for r in kept], sorted(sizes))
+    return LanguageModel([tuple(r) for r in counted.collect()], sorted(sizes))
 
 
 def language_id(

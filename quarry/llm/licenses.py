@@ -97,6 +97,24 @@ TEMPLATES = {
         "Eclipse Public License - v 2.0",
     ],
 }
+# clauses that stand in the body of full texts
+TEMPLATES["MIT"] += [
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+]
+TEMPLATES["BSD"] += [
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
+]
+TEMPLATES["Apache-2.0"] += [
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+    "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+]
+TEMPLATES["ISC"] += [
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS",
+]
 # titles, by which full texts are found too; the GNU ones above are titles as well as notices
 TEMPLATES["Apache-2.0"] += ["Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"]
 TEMPLATES["GPL-3.0"] += ["GNU General Public License, version 3"]
@@ -176,7 +194,7 @@ def scan_licenses(
     containment is that of the best template and window, words are counted from 0 and the range spans the
     license's shingles in all matching windows.  A template of fewer than ``size`` words is never found; a
     notice is found where all its words follow each other, each place a window and containment 1.  Null, empty and short texts hold none.  Texts are scanned whole.  Repeated rows (one id and text) are
-    one document, and so are rows with a null id.  An empty table gives an empty result; other columns are
+    one row; other rows that share an id, or have none, are searched on their own and reported together.  An empty table gives an empty result; other columns are
     ignored.  The template table is a parameter of fixed size, so its broadcast doesn't grow with the data.
     """
     spark = docs.sparkSession
@@ -189,7 +207,9 @@ def scan_licenses(
     if not items and not notices:
         return spark.createDataFrame([], empty)
 
-    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), _hashes(words(F.col(text_col))).alias("h"))
+    hashed = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("own"), _hashes(words(F.col(text_col))).alias("h")
+    )
     exact = _notice_places(hashed, notices) if notices else None
     if not items:
         return _per_license(exact)
@@ -206,7 +226,7 @@ def scan_licenses(
             ),
         )
     )
-    places = hashed.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.at", "x.item")
+    places = hashed.select("doc_id", "own", F.explode(found).alias("x")).select("doc_id", "own", "x.at", "x.item")
     # each place is in the window that its stride begins and in the one before
     windows = F.flatten(
         F.array(
@@ -219,24 +239,25 @@ def scan_licenses(
             ]
         )
     )
-    rows = places.select("doc_id", "at", "item", F.explode(windows).alias("w")).select(
-        "doc_id", "at", "item", "w.class", "w.window"
+    rows = places.select("doc_id", "own", "at", "item", F.explode(windows).alias("w")).select(
+        "doc_id", "own", "at", "item", "w.class", "w.window"
     )
     # a window has at most two strides of places, so its lists are bounded by the longest template
-    sketched = rows.groupBy("doc_id", "class", "window").agg(
+    sketched = rows.groupBy("doc_id", "own", "class", "window").agg(
         *_band_values(F.col("item"), bands), F.collect_set(F.struct("item", "at")).alias("places")
     )
     per_template = table.select("template", "license", "class", F.explode("items").alias("item"))
     template_sketch = per_template.groupBy("template", "license", "class").agg(
         *_band_values(F.col("item"), bands), F.collect_set("item").alias("items")
     )
-    probes = _banded(sketched, bands, "doc_id", "class", "window", "places")
+    probes = _banded(sketched, bands, "doc_id", "own", "class", "window", "places")
     targets = _banded(template_sketch, bands, "template", "license", "class", "items")
     pairs = probes.join(F.broadcast(targets), ["class", "band", "value"])
     inside = F.filter("places", lambda p: F.array_contains(F.col("items"), p["item"]))
     share = F.size(F.array_distinct(F.transform(inside, lambda p: p["item"]))) / F.size("items")
     checked = pairs.select(
         "doc_id",
+        "own",
         "license",
         "class",
         "window",
@@ -271,9 +292,10 @@ def _notice_places(hashed: DataFrame, notices: dict[str, list[str]]) -> DataFram
             ]
         )
     )
-    places = hashed.select("doc_id", F.explode(found).alias("x"))
+    places = hashed.select("doc_id", "own", F.explode(found).alias("x"))
     return places.select(
         "doc_id",
+        "own",
         "x.license",
         (-F.col("x.n")).alias("class"),
         F.col("x.at").cast("long").alias("window"),
@@ -299,5 +321,5 @@ def _per_license(checked: DataFrame) -> DataFrame:
         F.max("containment").alias("containment"),
         F.min("first").cast("long").alias("first_word"),
         F.max("last").cast("long").alias("last_word"),
-        F.count_distinct("class", "window").alias("windows"),
+        F.count_distinct("own", "class", "window").alias("windows"),
     )

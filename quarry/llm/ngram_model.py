@@ -38,6 +38,8 @@ END = b" end"
 CHARS, KEYS = 4_000_000, 3_000_000
 #: The successors of one context are dealt to this many buckets.
 SPREAD = 16
+#: Bytes of text whose words and pairs one bucket gathers, and so one task merges.
+BUCKET_TEXT = 16 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -270,17 +272,17 @@ def kneser_ney_discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarr
 def train(rows: DataFrame, text_col: str = "text", buckets: int | None = None) -> BigramModel:
     """Count the model over every row of the table; a null text is empty and still has its end token.
 
-    buckets (a power of two is taken) defaults to the session's shuffle partitions: the setting that a
-    larger corpus raises is the one that keeps a bucket small.
+    buckets (a power of two is taken) follows from the bytes of text unless given, so that what one task
+    merges stays the same however large the corpus is.
     """
     spark = rows.sparkSession
     ship(spark)
-    wanted = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = rows.select(F.col(text_col).alias("text"))
+    wanted = buckets or -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_TEXT)
     bits = max(1, (wanted - 1).bit_length())
     place = new_path(spark, "bigrams")
     if place.startswith("/"):
         place = f"file://{place}"
-    texts = rows.select(F.col(text_col).alias("text"))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = Runs(lambda h: word_bucket(h, bits))
@@ -307,6 +309,8 @@ def train(rows: DataFrame, text_col: str = "text", buckets: int | None = None) -
     )
     if not model.train_tokens:
         return model
+    if model.vocabulary >= 1 << 32:
+        raise ValueError("pairs are packed of two ids of 32 bits; the corpus has more different words")
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, reader = Runs(lambda k: pair_bucket(k, bits)), model.reader()

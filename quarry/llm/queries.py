@@ -119,6 +119,7 @@ FROM n
 """
 
 
+#: Whole conversations: those of the small tables are shorter than a block.
 OP7_SQL = r"""
 WITH RECURSIVE m AS (
   SELECT row_number() OVER () AS mid, conv_id, turn, role, text FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
@@ -156,7 +157,7 @@ rows AS (
   SELECT m.conv_id, m.turn, coalesce(m.role, 'unknown') AS role, coalesce(root, m.turn) AS root, coalesce(n_linked, 0) AS n_linked, s.text, s.quoted
   FROM m JOIN said s USING (mid) LEFT JOIN reply r ON m.conv_id = r.conv_id AND m.turn = r.turn LEFT JOIN root t ON m.conv_id = t.conv_id AND m.turn = t.turn
 )
-SELECT conv_id, root // 256 AS root_block, turn // 256 AS turn_block, count(*) AS n_messages, CAST(sum(quoted) AS BIGINT) AS n_quoted,
+SELECT conv_id, 0 AS first_root, true AS tail, 0 AS turn_block, 0 AS spread, count(*) AS n_messages, CAST(sum(quoted) AS BIGINT) AS n_quoted,
        CAST(sum(n_linked) AS BIGINT) AS n_linked,
        string_agg('<|' || role || '|>' || chr(10) || text, chr(10) || chr(10) ORDER BY root, turn, role, text) AS chat
 FROM rows GROUP BY ALL

@@ -10,6 +10,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _own_dir: str | None = None
-_live: list[str] = []
+_noting: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,14 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def new_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
-    """A new place in the shared folder; with keep, release() leaves it alone."""
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A new place in the shared folder."""
     path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex[:12]}-{tag}"
-    if not keep:
-        _live.append(path)
+    for places in _noting:
+        places.append(path)
     return path
 
 
+@contextmanager
+def noted(places: list[str]) -> Iterator[None]:
+    """Add the places of the tables that are written meanwhile to the list, for delete() once they are read."""
+    _noting.append(places)
+    try:
+        yield
+    finally:
+        _noting.remove(places)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -48,12 +60,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table written so far. Only for callers whose earlier results are already written out."""
+def delete(spark: SparkSession, places: list[str]) -> None:
+    """Delete the tables at these places and empty the list."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _live:
-        path = jvm.org.apache.hadoop.fs.Path(_live.pop())
+    while places:
+        path = jvm.org.apache.hadoop.fs.Path(places.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
@@ -68,6 +80,21 @@ def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     return docs.join(sized(dropped), key, "left_anti").select(docs.columns)
 
 
+def with_row_ids(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """docs with a column that tells rows apart: the id where one row alone has it, else a number below 0 from id and text.
+
+    Rows that agree in id and text have one number.
+    """
+    several = stored(docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(id_col), "ids")
+    own = F.col(id_col).cast("long")
+    made = -1 - F.shiftrightunsigned(F.xxhash64(own, F.col(text_col)), 1)
+    if several.isEmpty():
+        return docs.withColumn(name, F.coalesce(own, made))
+    shared = sized(several.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias(f"{name} shared")))
+    marked = docs.join(shared, F.col(id_col) == F.col(f"{name} shared"), "left")
+    return marked.withColumn(name, F.when(F.col(f"{name} shared").isNull(), F.coalesce(own, made)).otherwise(made)).drop(f"{name} shared")
+
+
 #: Rows and bytes of an Arrow batch at most: a worker that several operators share keeps what it once took.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 

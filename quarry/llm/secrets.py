@@ -1,7 +1,7 @@
 """Secret scan in DataFrame operations only.
 
 Three base patterns report spans as they are.  Beside them every long run of key-like characters that
-mixes letters and digits is put to a battery of randomness tests under the encoding its alphabet implies:
+mixes letters and digits, or has very many letters, is put to a battery of randomness tests under the encoding its alphabet implies:
 uniformity of the alphabet (chi-squared), runs above and below the alphabet's middle, and serial
 correlation.  Their p-values combine by Fisher's method into one, near 0 for strings that are not random
 and uniform on 0..1 for random ones.  The cut for each encoding and length comes from the whole corpus:
@@ -32,6 +32,9 @@ SYMBOL = "[A-Za-z0-9+/_-]"
 CANDIDATE = rf"(?<!{SYMBOL})(?=[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE}}}){SYMBOL}+(?:=++(?!{SYMBOL}))?"
 #: Symbols of each encoding, in the order of their values.
 ALPHABETS = {
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -41,6 +44,10 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 
+#: Letters alone are a key only at this length: shorter compounds of words are told apart too badly.
+MIN_LETTERS = 32
+#: With fewer candidates of an encoding and length no share can be estimated: there so high a p-value is reported.
+FEW, FEW_P = 20, 0.1
 #: Expected share of strings that are not random among those reported, and bins of the combined p-value.
 FALSE_DISCOVERIES, BINS = 0.1, 50
 #: No string with a lower combined p-value is reported, whatever the corpus holds.
@@ -80,11 +87,18 @@ def _spans(text: Column, pattern: str, least: int, kind: str, group: int = 0) ->
 
 
 def _encoding(token: Column) -> Column:
-    """The narrowest encoding whose alphabet holds the token's characters, padding aside; null if none is mixed."""
+    """The narrowest encoding whose alphabet holds the token's characters, padding aside.
+
+    Null for digits alone, for letters alone below MIN_LETTERS, and for words between marks.
+    """
+    letters = F.length(token) >= MIN_LETTERS
     mixed = F.regexp_like(token, F.lit("[0-9]")) & F.regexp_like(token, F.lit("[A-Za-z]"))
     is_in = lambda p: F.regexp_like(token, F.lit(f"^{p}$"))
     return (
-        F.when(~mixed, F.lit(None))
+        F.when(letters & is_in("[a-z]+"), "lower")
+        .when(letters & is_in("[A-Z]+"), "upper")
+        .when(letters & is_in("[A-Za-z]+"), "letters")
+        .when(~mixed, F.lit(None))
         .when(is_in("[0-9a-f]+"), "hex")
         .when(is_in("[0-9A-F]+"), "HEX")
         .when(is_in("[A-Z2-7]+"), "base32")
@@ -157,7 +171,7 @@ def length_class(token: Column) -> Column:
 
 
 def cuts(candidates: DataFrame) -> list[tuple[str, int, float]]:
-    """(encoding, length class, least p-value to report) from the p-values of all candidates.
+    """(encoding, length class, least p-value to report) from the p-values of all candidates; FEW_P if they are few.
 
     Random strings' p-values are uniform, so those over a half tell how many random strings there are in
     all; what a range of p-values holds beyond their share is not random.  candidates: encoding, class, p.
@@ -169,6 +183,9 @@ def cuts(candidates: DataFrame) -> list[tuple[str, int, float]]:
         table.setdefault((row["encoding"], row["class"]), [0] * BINS)[row["bin"]] += row["n"]
     out = []
     for (encoding, length), n in sorted(table.items()):
+        if sum(n) < FEW:
+            out.append((encoding, length, FEW_P))
+            continue
         random = 2 * sum(n[BINS // 2 :])
         best = None
         for b in range(BINS):

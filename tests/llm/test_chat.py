@@ -32,7 +32,7 @@ def test_replies_are_linked_and_quotes_removed(spark):
 
 def test_a_long_chain_of_replies(spark):
     rows = [(1, 0, "user", "line 0")] + [(1, i, "user", f"> line {i - 1}\nline {i}") for i in range(1, 300)]
-    out = format_chat(table(spark, rows), block=64).orderBy("root_block", "turn_block").collect()
+    out = format_chat(table(spark, rows), block=64).orderBy("first_root", "tail", "turn_block").collect()
     assert [r.n_messages for r in out] == [64, 64, 64, 64, 44]
     assert [(m.turn, m.depth, m.thread_root) for r in out for m in r.messages] == [(i, i, 0) for i in range(300)]
 
@@ -53,3 +53,23 @@ def test_hard_rows(spark):
     ]
     assert sum(r.n_messages for r in out) == 8
     assert format_chat(table(spark, rows).limit(0)).count() == 0
+
+
+def test_thread_order_of_a_long_conversation(spark):
+    """Many threads, some of which go on for hundreds of turns: rows in order give thread after thread."""
+    rows, thread = [], {}
+    for i in range(600):
+        begin = i % 7 if i >= 7 and i % 3 else i  # every third message begins a thread, the others go on with one of seven
+        thread[i] = begin
+        rows.append((1, i, "user", f"line {i} here" if begin == i else f"> line {begin} here\nreply {i}"))
+    for block in (256, 32):
+        out = format_chat(table(spark, rows), block=block).orderBy("first_root", "tail", "turn_block", "spread").collect()
+        got = [(m.thread_root, m.turn) for r in out for m in r.messages]
+        assert got == sorted((thread[i], i) for i in range(600))
+        assert all(len({m.turn for m in r.messages}) <= block for r in out)
+
+
+def test_a_crowded_turn_is_dealt_over_rows(spark):
+    rows = [(1, 0, "user", f"said {i}") for i in range(200)] + [(1, 1, "user", "> said 7\nyes")]
+    out = format_chat(table(spark, rows), block=16).collect()
+    assert sum(r.n_messages for r in out) == 201 and max(r.n_messages for r in out) < 64 and sum(r.n_linked for r in out) == 1

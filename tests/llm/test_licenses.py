@@ -95,3 +95,22 @@ def test_notices_and_other_license_families(spark):
     assert places[1] == (3, 5, 1.0, 1) and places[10] == (0, 8, 1.0, 3)
     only = scan_licenses(table, templates={}, notices=NOTICES).collect()
     assert {r.doc_id for r in only} == {1, 10}
+
+
+def test_rows_that_share_an_id_are_searched_on_their_own(spark):
+    notice = TEMPLATES["MIT"][2].split()
+    half = len(notice) // 2
+    rows = [(None, " ".join(notice[:half])), (None, " ".join(notice[half:])), (1, " ".join(notice[:half])), (1, " ".join(notice[half:]))]
+    assert scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    rows += [(1, " ".join(notice)), (1, "another text")]
+    out = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.license) for r in out] == [(1, "MIT")]
+
+
+def test_clauses_of_full_texts(spark):
+    rows = [(i, f"before all this {t} and after") for i, (_, t) in enumerate(BODY)]
+    out = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license) for r in out} == {(i, name) for i, (name, _) in enumerate(BODY)}
+
+
+BODY = [(name, t) for name, own in TEMPLATES.items() for t in own if "AS IS" in t]

@@ -74,3 +74,19 @@ def test_values_after_an_equals_sign_are_reported(spark):
     assert len([s for s in spans[400:] if "random:38:80" in s and "random:83:124" in s]) >= 170
     plain = found([f"see {t}= here" for t in random])  # padding without an assignment is found as before
     assert len([s for s in plain if s == "random:4:45"]) >= 170
+
+
+def test_keys_of_letters_alone(spark):
+    rng = random.Random(1)
+    keys = ["".join(rng.choice(string.ascii_letters) for _ in range(40)) for _ in range(50)]
+    words = [("Word" + "aaaaeeeett" * 40)[i % 4 : 40 + i % 4] for i in range(50)]
+    rows = [f"see {t} here" for t in keys + words]
+    out = scan_secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    found = {r.doc_id for r in out if "random:4:44" in r.spans}
+    assert len([i for i in found if i < 50]) >= 40 and len([i for i in found if i >= 50]) <= 10
+
+
+def test_one_key_alone_is_reported(spark):
+    rows = [(i, f"see {t} here") for i, t in enumerate(tokens(1, 40, "random") + tokens(1, 64, "random") + tokens(1, 40, "words"))]
+    out = scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.spans for r in out} == {0: "random:4:44", 1: "random:4:68", 2: ""}
