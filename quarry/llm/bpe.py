@@ -30,9 +30,9 @@ END = 0x8000
 NEVER = 1 << 60
 
 #: Words of up to CACHED_LENGTH characters are remembered, at most 2 * CACHED_WORDS of them a worker.
-CACHED_LENGTH, CACHED_WORDS = 64, 100_000
+CACHED_LENGTH, CACHED_WORDS = 64, 80_000
 #: Pairs of tokens whose compatibility a worker remembers: 2 * KNOWN_PAIRS at most.
-KNOWN_PAIRS = 100_000
+KNOWN_PAIRS = 60_000
 
 #: Below this code point NFC changes nothing and lower-casing is the same in all Unicode versions.
 SIMPLE_BELOW = 0x250

@@ -10,6 +10,8 @@ it is the lowest at which the expected share of false discoveries stays under a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,7 +176,7 @@ def cuts(candidates: DataFrame) -> list[tuple[str, int, float]]:
     """(encoding, length class, least p-value to report) from the p-values of all candidates; FEW_P if they are few.
 
     Random strings' p-values are uniform, so those over a half tell how many random strings there are in
-    all; what a range of p-values holds beyond their share is not random.  candidates: encoding, class, p.
+    all, with one standard deviation allowed for chance; what a range of p-values holds beyond their share is not random.  candidates: encoding, class, p.
     """
     bins = candidates.withColumn("bin", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int"))
     counts = bins.groupBy("encoding", "class", "bin").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -186,7 +188,8 @@ def cuts(candidates: DataFrame) -> list[tuple[str, int, float]]:
         if sum(n) < FEW:
             out.append((encoding, length, FEW_P))
             continue
-        random = 2 * sum(n[BINS // 2 :])
+        high = sum(n[BINS // 2 :])
+        random = 2 * (high + math.sqrt(high))
         best = None
         for b in range(BINS):
             found = sum(n[b:])
