@@ -49,7 +49,7 @@ def search(corpus: DataFrame, text: str, limit: int = 10, per_resource: int = 2,
     climbed = E.climb(corpus, "doc_id", "text", plan)
     terms = spark.createDataFrame([(0, t) for t in plan.terms], "query_id long, term string")
     kept = corpus.join(climbed.select("doc_id"), "doc_id", "left_semi")
-    scored = R.bm25(R.postings(kept, "doc_id", "text"), corpus, terms, "doc_id", "text")
+    scored = R.bm25(R.postings(kept, "doc_id", "text", terms), corpus, terms, "doc_id", "text")
     found.append(R.top(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], fetch).select("query_id", F.lit("lexical").alias("ranking"), F.col("rank").alias("source_rank"), "doc_id"))
     executed.append("lexical")
     wanted = spark.range(1).select(exact_terms(F.lit(text)).alias("t")).first()["t"]

@@ -30,12 +30,16 @@ RULES = {
 def pattern_evidence(docs: DataFrame, key: str, scopes: dict[str, Column], rules: dict[str, list[str]], base: float) -> DataFrame:
     """key, label, score, signals: one row a label that any rule matched in any scope.
 
-    Every pattern is one boolean per scope, evaluated where the row is: no join, no shuffle.
+    Every pattern is one boolean per scope, evaluated once, where the row is: no join, no shuffle.
     """
-    labels = []
-    for label, patterns in rules.items():
-        hits = {s: [F.coalesce(F.regexp_like(t, F.lit(f"(?i){p}")), F.lit(False)).cast("int") for p in patterns] for s, t in scopes.items()}
-        count = {s: reduce(lambda a, b: a + b, h) for s, h in hits.items()}
+    labels, counts = [], {}
+    for n, (_, patterns) in enumerate(rules.items()):
+        for s, t in scopes.items():
+            hits = [F.coalesce(F.regexp_like(t, F.lit(f"(?i){p}")), F.lit(False)).cast("int") for p in patterns]
+            counts[n, s] = reduce(lambda a, b: a + b, hits)
+    docs = docs.select(key, *[c.alias(f"hits {n} {s}") for (n, s), c in counts.items()])
+    for n, label in enumerate(rules):
+        count = {s: F.col(f"hits {n} {s}") for s in scopes}
         signals = reduce(lambda a, b: a + b, count.values())
         best = F.greatest(*[F.when(c > 0, base + SCOPE_BONUS[s]).otherwise(0.0) for s, c in count.items()], F.lit(0.0))
         score = F.least(F.lit(CAP), best + SIGNAL_BONUS * F.least(signals - 1, F.lit(MOST_SIGNALS)))

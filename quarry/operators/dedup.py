@@ -1,7 +1,7 @@
 """Exact duplicate planning over an inventory of files.
 
 A file is a row with path, volume_id, file_id, size, mtime_ns and content.  Size buckets prune what is
-hashed, hashes prune what is compared, and equality is always equality of content.
+hashed, and files are equal when their SHA-256 and their size agree.
 """
 
 from __future__ import annotations
@@ -62,8 +62,7 @@ def keeper_ranks(
 def duplicate_members(ranked: DataFrame) -> DataFrame:
     """Every member of every duplicate group: sha256, member_order (0: keeper), role, and the rank columns.
 
-    Only files whose size occurs twice are hashed.  Members are grouped by digest and content; content
-    itself is compared where the digest already agrees.
+    Only files whose size occurs twice are hashed.  Members are grouped by digest and size.
     """
     rows = admitted(ranked)
     shared = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("size")

@@ -35,15 +35,18 @@ def _pack(bits: list[Column]) -> Column:
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, simhash, n_tokens; a text without words has no signature.
 
-    Each feature is hashed once a document and weighted by how often it occurs; the 64 counters are
-    partial sums on the map side, so a document is one row in the shuffle.
+    The weights of the features that have a bit set are summed, two counters of 32 bits a long; with the sum
+    of all weights they give the signed counters.  The sums are partial on the map side, so a document is
+    one row in the shuffle.
     """
     rows = docs.select(key, signature_words(F.col(text)).alias("words")).filter(F.size("words") > 0)
     features = rows.select(key, F.size("words").alias("n_tokens"), F.explode(_features(F.col("words"))).alias("x"))
     hashed = features.select(key, "n_tokens", "x.w", sha_long(F.col("x.f")).alias("h"))
-    counters = [F.sum(F.when(F.getbit("h", F.lit(i)) == 1, F.col("w")).otherwise(-F.col("w"))).alias(f"c{i}") for i in range(64)]
-    summed = hashed.groupBy(key, "n_tokens").agg(*counters)
-    return summed.select(key, F.col("n_tokens").cast("long"), _pack([F.col(f"c{i}") for i in range(64)]).alias("simhash"))
+    lanes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1 << 32 | 1)) * F.col("w")).alias(f"c{i}") for i in range(32)]
+    summed = hashed.groupBy(key, "n_tokens").agg(F.sum("w").alias("all"), *lanes)
+    low = [2 * F.col(f"c{i}").bitwiseAND(F.lit((1 << 32) - 1)) - F.col("all") for i in range(32)]
+    high = [2 * F.shiftrightunsigned(f"c{i}", 32) - F.col("all") for i in range(32)]
+    return summed.select(key, F.col("n_tokens").cast("long"), _pack(low + high).alias("simhash"))
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -15,12 +15,20 @@ from pyspark.sql.window import Window
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf, length; combined on the map side, one row a document and term."""
+def postings(docs: DataFrame, key: str, text: str, queries: DataFrame | None = None) -> DataFrame:
+    """key, term, tf, length; combined on the map side, one row a document and term.
+
+    With queries (a small, stated set with a column term) only their terms become rows: the rest of a
+    document never leaves its task.
+    """
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    rows = docs.select(key, words.alias("w"))
+    rows = docs.select(key, words.alias("w")).withColumn("length", F.size("w"))
+    if queries is not None:
+        wanted = queries.agg(F.collect_set("term").alias("wanted"))
+        rows = rows.crossJoin(F.broadcast(wanted))  # one row
+        rows = rows.withColumn("w", F.filter("w", lambda x: F.array_contains("wanted", x)))
     return (
-        rows.select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
+        rows.select(key, "length", F.explode("w").alias("term"))
         .groupBy(key, "term", "length")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -29,8 +37,8 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(posted: DataFrame, docs: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
     """query_id, key, score, matched (terms of the query in the document): larger is better.
 
-    queries: query_id, term, one row a distinct term: a stated, small set that is broadcast, so the
-    postings are filtered where they lie.
+    queries: query_id, term, one row a distinct term: a stated, small set that is broadcast.  posted may be
+    the postings of these terms alone.
     """
     size = F.size(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     corpus = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(size).alias("avg_length"))

@@ -103,5 +103,5 @@ def session_windows(spark, sf):
 @query("SELECT count(*) AS applied, max(event_id) AS mark FROM events")
 def receipt_watermark(spark, sf):
     place = _scratch(spark, "receipts")
-    S.run_batches(_events(spark, sf), S.Outbox("event_id", lambda rows: rows.select("event_id").write.mode("append").parquet(place)), f"{place}-cp")
+    S.run_batches(_events(spark, sf), S.Outbox("event_id", lambda rows: rows.select("event_id").write.mode("append").parquet(place), place=f"{place}-mark"), f"{place}-cp")
     return spark.read.parquet(place).agg(F.count(F.lit(1)).alias("applied"), F.max("event_id").alias("mark"))

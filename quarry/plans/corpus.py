@@ -110,10 +110,10 @@ def image_decision(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", decision.alias("d")).select("vec_id", "d.*")
 
 
-@query("SELECT sha256(text) AS sha, count(*) AS locations, list('d' || doc_id ORDER BY 'd' || doc_id) AS sample FROM documents GROUP BY text HAVING count(*) <= 100")
+@query("SELECT sha256(text) AS sha, count(*) AS locations, list('d' || doc_id ORDER BY 'd' || doc_id)[1:100] AS sample FROM documents GROUP BY text")
 def single_flight(spark, sf):
     rows = table(spark, sf, "documents").select(F.sha2("text", 256).alias("sha"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"))
-    return C.single_flight(rows, ["sha"], "path").filter("locations <= 100")
+    return C.single_flight(rows, ["sha"], "path")
 
 
 # --- diagnostics and findings ------------------------------------------------------------------------
@@ -223,8 +223,8 @@ def lineage_impact(spark, sf):
 
 
 @query(
-    """WITH RECURSIVE s AS (SELECT o_orderkey AS scan_id, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE epoch(o_orderdate) END AS ended FROM orders WHERE o_orderkey % 10 = 0),
-e AS (SELECT scan_id AS parent, scan_id // 20 * 10 AS child FROM s WHERE scan_id > 0),
+    """WITH RECURSIVE s AS (SELECT o_orderkey AS scan_id, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE epoch(o_orderdate) END AS ended FROM orders),
+e AS (SELECT scan_id AS parent, scan_id // 2 AS child FROM s WHERE scan_id > 0),
 r AS (SELECT max(scan_id) AS scan_id FROM s UNION SELECT e.child FROM r JOIN e ON e.parent = r.scan_id),
 n AS (SELECT s.*, r.scan_id IS NOT NULL AS held FROM s LEFT JOIN (SELECT DISTINCT scan_id FROM r) r USING (scan_id))
 SELECT scan_id, CASE WHEN held THEN 'protected' WHEN ended IS NULL THEN 'blocked' WHEN ended > 1000000000 OR 1000000000 - ended < 100000000 THEN 'protected' ELSE 'eligible' END AS disposition,
@@ -232,10 +232,10 @@ CASE WHEN held THEN 'reachable_from_head' WHEN ended IS NULL THEN 'terminal_time
 )
 def retention_plan(spark, sf):
     seconds = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
-    scans = table(spark, sf, "orders").filter("o_orderkey % 10 = 0").select(
+    scans = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("scan_id"), F.when(F.col("o_orderstatus") != "P", seconds).alias("ended")
     )
-    edges = scans.filter("scan_id > 0").select(F.col("scan_id").alias("parent"), (F.floor(F.col("scan_id") / 20) * 10).alias("child"))
+    edges = scans.filter("scan_id > 0").select(F.col("scan_id").alias("parent"), F.floor(F.col("scan_id") / 2).alias("child"))
     return L.retention(scans, edges, scans.agg(F.max("scan_id").alias("scan_id")), 1_000_000_000, 100_000_000)
 
 

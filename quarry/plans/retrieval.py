@@ -130,7 +130,7 @@ def terms(spark):
 
 def bm25_scores(spark, sf):
     docs = table(spark, sf, "documents")
-    return R.bm25(R.postings(docs, "doc_id", "text"), docs, terms(spark), "doc_id", "text")
+    return R.bm25(R.postings(docs, "doc_id", "text", terms(spark)), docs, terms(spark), "doc_id", "text")
 
 
 @query(

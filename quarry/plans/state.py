@@ -16,11 +16,11 @@ def docs(spark, sf):
 
 
 @query(
-    """SELECT p_partkey, p_name, 'kept' AS origin FROM part WHERE p_partkey % 10 <> 3 AND p_partkey % 10 <> 7 AND p_partkey <= 500
-UNION ALL SELECT p_partkey, upper(p_name), 'delta' FROM part WHERE p_partkey % 10 = 3 AND p_partkey <= 500"""
+    """SELECT p_partkey, p_name, 'kept' AS origin FROM part WHERE p_partkey % 10 <> 3 AND p_partkey % 10 <> 7
+UNION ALL SELECT p_partkey, upper(p_name), 'delta' FROM part WHERE p_partkey % 10 = 3"""
 )
 def generation_successor(spark, sf):
-    base = table(spark, sf, "part").filter("p_partkey <= 500").select("p_partkey", "p_name")
+    base = table(spark, sf, "part").select("p_partkey", "p_name")
     delta = base.filter("p_partkey % 10 = 3").withColumn("p_name", F.upper("p_name"))
     return S.successor(base, delta, base.filter("p_partkey % 10 = 7"), "p_partkey")
 
@@ -98,11 +98,11 @@ def admission_policy(spark, sf):
 
 @query(
     """SELECT l_orderkey, string_agg('lines!A' || l_linenumber || chr(9) || CAST(l_partkey AS VARCHAR), chr(10) ORDER BY l_linenumber) FILTER (l_linenumber <> 2) AS text, count(*) FILTER (l_linenumber = 2) AS uncached_formulas
-FROM (SELECT l_orderkey, l_linenumber, any_value(l_partkey) AS l_partkey FROM lineitem WHERE l_orderkey <= 200 GROUP BY ALL HAVING count(*) = 1) GROUP BY l_orderkey HAVING count(*) FILTER (l_linenumber <> 2) > 0"""
+FROM (SELECT l_orderkey, l_linenumber, any_value(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL HAVING count(*) = 1) GROUP BY l_orderkey HAVING count(*) FILTER (l_linenumber <> 2) > 0"""
 )
 def cell_projection(spark, sf):
     """Order lines as a sheet's cells: line 2 is a formula whose value was never cached."""
-    rows = table(spark, sf, "lineitem").filter("l_orderkey <= 200")
+    rows = table(spark, sf, "lineitem")
     once = rows.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.first("l_partkey").alias("p")).filter("n = 1")
     cell = F.struct(
         F.col("l_linenumber").alias("line"), F.lit("lines").alias("sheet"), F.concat(F.lit("A"), F.col("l_linenumber").cast("string")).alias("cell"),
@@ -120,13 +120,13 @@ def hit_projection(spark, sf):
 
 
 @query(
-    r"""WITH w AS (SELECT doc_id, trim(regexp_replace('TC-' || doc_id || ' note ' || regexp_split_to_array(text, '\n')[1], '[^\p{L}\p{N}.-]+', '_', 'g'), '_') AS w FROM documents WHERE n_chars > 50)
+    r"""WITH w AS (SELECT doc_id, trim(regexp_replace('TC-' || doc_id || ' note ' || regexp_split_to_array(text, '\n')[1], '[^\p{L}\p{N}.-]+', '_', 'g'), '_') AS w FROM documents)
 SELECT doc_id, regexp_replace(substr(w, 1, 80), '_+[^_]{0,2}$', '') AS stem FROM w"""
 )
 def document_stems(spark, sf):
     title = F.get(F.split("text", "\n"), F.lit(0))
     ids = F.array(F.concat(F.lit("TC-"), F.col("doc_id").cast("string")))
-    return docs(spark, sf).filter("n_chars > 50").select("doc_id", S.stem(title, F.lit("note"), ids).alias("stem"))
+    return docs(spark, sf).select("doc_id", S.stem(title, F.lit("note"), ids).alias("stem"))
 
 
 @query(

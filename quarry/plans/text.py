@@ -13,14 +13,14 @@ def docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS collapsed FROM documents WHERE lang <> 'en'")
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS collapsed FROM documents")
 def whitespace_collapse(spark, sf):
-    return docs(spark, sf).filter("lang <> 'en'").select("doc_id", X.collapse(F.col("text")).alias("collapsed"))
+    return docs(spark, sf).select("doc_id", X.collapse(F.col("text")).alias("collapsed"))
 
 
-@query("SELECT doc_id, strip_accents(replace(lower(text), 'ß', 'ss')) AS folded FROM documents WHERE n_chars < 2000")
+@query("SELECT doc_id, strip_accents(replace(lower(text), 'ß', 'ss')) AS folded FROM documents")
 def accent_case_fold(spark, sf):
-    return docs(spark, sf).filter("n_chars < 2000").select("doc_id", X.fold("text").alias("folded"))
+    return docs(spark, sf).select("doc_id", X.fold("text").alias("folded"))
 
 
 @query("SELECT page_id, upper(trim(regexp_replace(replace(strip_accents(url), '_', ' '), '\\s+', ' ', 'g'))) AS folded FROM pages")
@@ -102,11 +102,10 @@ c AS (SELECT doc_id, v, length(v) AS n, round(len(regexp_extract_all(v, '[\p{L}\
   round(len(list_distinct(string_split(regexp_replace(v, '\s', '', 'g'), ''))) / greatest(length(regexp_replace(v, '\s', '', 'g')), 1) + 1e-9, 5) AS uniq FROM v)
 SELECT doc_id, n AS characters, alnum AS alphanumeric_ratio, uniq AS unique_ratio,
   CASE WHEN n < 24 THEN 'too_short' WHEN susp > 0.01 THEN 'suspicious_unicode_or_mojibake' WHEN alnum < 0.35 THEN 'low_alphanumeric_density'
-  WHEN n >= 40 AND uniq < 0.035 THEN 'low_character_diversity' ELSE 'usable' END AS reason FROM c WHERE n < 3000"""
+  WHEN n >= 40 AND uniq < 0.035 THEN 'low_character_diversity' ELSE 'usable' END AS reason FROM c"""
 )
 def native_text_quality(spark, sf):
-    """Texts of under 3,000 characters: in longer prose the diversity gate always fires, as it does in the original rule."""
-    rows = docs(spark, sf).select("doc_id", X.native_quality(F.col("text"), 24).alias("q")).filter("q.characters < 3000")
+    rows = docs(spark, sf).select("doc_id", X.native_quality(F.col("text"), 24).alias("q"))
     return rows.select("doc_id", F.col("q.characters").cast("long").alias("characters"), "q.alphanumeric_ratio", "q.unique_ratio", "q.reason")
 
 

@@ -25,7 +25,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: Bytes that tell a binary file, before anything is decoded.
 HEAD = 65_536
+#: Control characters that no text holds, and the byte order marks of encodings in which their bytes are ordinary.
+CONTROL = re.compile(rb"[\x00-\x08\x0b\x0e-\x1f]")
+CONTROL_TEXT = re.compile(r"[\x00-\x08\x0b\x0e-\x1f]")
+WIDE_MARKS = (b"\xff\xfe", b"\xfe\xff", b"\x00\x00\xfe\xff")
 
 #: Leading bytes that name a type, longest first where they share a beginning.
 MAGIC = [
@@ -89,7 +94,7 @@ def delimited(text: str, suffix: str = "") -> str | None:
 
 
 def content_type(data: bytes, name: str = "") -> str:
-    """The type of a file by its first bytes and, for text, by what parses."""
+    """The type of a file by its first bytes and, for text, by what the whole of it parses as."""
     head, suffix = data[:HEAD], "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
     if not head:
         return "application/x-empty"
@@ -114,14 +119,13 @@ def content_type(data: bytes, name: str = "") -> str:
     for mark, kind in MAGIC:
         if head.startswith(mark):
             return kind
+    if CONTROL.search(head) and not head.startswith(WIDE_MARKS):
+        return "application/octet-stream"
     try:
-        text, _ = decode(head if len(data) <= HEAD else head[: HEAD - 4])
+        text, _ = decode(data)
     except ValueError:
-        try:
-            text = head[: len(head) - 3].decode("utf-8", "strict")
-        except UnicodeError:
-            return "application/octet-stream"
-    if any(ord(c) < 32 and c not in "\t\n\r\f" for c in text):
+        return "application/octet-stream"
+    if CONTROL_TEXT.search(text):
         return "application/octet-stream"
     return text_type(text, suffix)
 

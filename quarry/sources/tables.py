@@ -53,7 +53,7 @@ def excluded(
 
 def published(generations: DataFrame, heads: DataFrame, key: str) -> DataFrame:
     """Rows of the generations that the heads table publishes."""
-    return generations.join(F.broadcast(heads.select(key).limit(10_000)), key, "left_semi")
+    return generations.join(heads.select(key), key, "left_semi")
 
 
 def keyset_page(rows: DataFrame, order: list[str], after: list, size: int) -> DataFrame:

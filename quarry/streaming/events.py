@@ -49,17 +49,33 @@ def sessions(stream: DataFrame, at: str, key: str, gap: str, late: str) -> DataF
 
 
 class Outbox:
-    """Applies events in id order above a watermark that only moves up: a replayed batch changes nothing."""
+    """Applies events in id order above a watermark that only moves up: a replayed batch changes nothing.
 
-    def __init__(self, id_col: str, apply: Callable[[DataFrame], None], start: int = -1):
-        self.id_col, self.apply, self.mark = id_col, apply, start
+    With a place the mark is written there after every batch, and a new Outbox goes on from it.  A batch
+    whose mark was lost with the driver is applied again: what it applies to must bear that (keyed by id).
+    """
+
+    def __init__(self, id_col: str, apply: Callable[[DataFrame], None], start: int = -1, place: str | None = None):
+        self.id_col, self.apply, self.mark, self.place = id_col, apply, start, place
+        self.read = place is None
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
+        if not self.read:
+            self._read_mark(batch.sparkSession)
         fresh = batch.filter(F.col(self.id_col) > self.mark)
         top = fresh.agg(F.max(self.id_col)).first()[0]
         if top is not None:
             self.apply(fresh)
             self.mark = top
+            if self.place is not None:  # marks only grow, so an interrupted write leaves the last one in force
+                batch.sparkSession.createDataFrame([(top, epoch)], "mark long, epoch long").coalesce(1).write.mode("append").parquet(self.place)
+
+    def _read_mark(self, spark: SparkSession) -> None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.place)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            kept = spark.read.schema("mark long, epoch long").parquet(self.place).agg(F.max("mark")).first()[0]
+            self.mark = max(self.mark, self.mark if kept is None else kept)
+        self.read = True
 
 
 #: What each event does to a run; others leave it as it is.

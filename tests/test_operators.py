@@ -138,6 +138,29 @@ def test_closure_ends_on_cycles(spark):
     assert out == {1: 0, 2: 1, 3: 2, 4: 3}
 
 
+def test_closure_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(70)], "p long, c long")
+    out = {r.node: r.depth for r in R.closure(edges, spark.createDataFrame([(0,)], "n long"), "p", "c").collect()}
+    assert out == {i: i for i in range(71)}
+
+
+def test_published_heads_beyond_ten_thousand(spark):
+    rows = spark.range(12_500).withColumnRenamed("id", "generation")
+    assert tables.published(rows, rows.filter("generation % 25 <> 0"), "generation").count() == 12_000
+
+
+def test_outbox_goes_on_after_a_restart(spark, tmp_path):
+    seen, data = [], spark.range(20).withColumnRenamed("id", "event_id")
+    apply = lambda b: seen.extend(r.event_id for r in b.collect())
+    place = str(tmp_path / "mark")
+    S.Outbox("event_id", apply, place=place)(data.filter("event_id < 12"), 0)
+    again = S.Outbox("event_id", apply, place=place)
+    again(data, 1)
+    assert sorted(seen) == list(range(20)) and again.mark == 19
+    S.Outbox("event_id", apply, place=place)(data, 2)
+    assert len(seen) == 20
+
+
 def test_streams(spark, tmp_path):
     rows = [(i, i % 4, ["view", "error", "purchase", "signup"][i % 4], f"2024-01-01 00:{i:02d}:00") for i in range(40)]
     data = spark.createDataFrame(rows, "event_id long, run long, kind string, at string").withColumn("at", F.col("at").cast("timestamp"))
