@@ -87,6 +87,24 @@ def search(corpus: DataFrame, text: str, limit: int = 10, per_resource: int = 2,
     return budget.bounded(hits), R.completeness(expected, ran)
 
 
+def context(corpus: DataFrame, text: str, chars: int = 4000, limit: int = 10, budget: ReadBudget = ReadBudget()) -> DataFrame:
+    """The hits of a query, in rank order, whose snippets fit a number of characters together."""
+    hits, _ = search(corpus, text, limit, budget=budget)
+    sized = checkpointed(hits.select(F.lit(0).cast("long").alias("query_id"), F.col("rank").cast("long").alias("rank"), "evidence", F.length("snippet").cast("long").alias("chars"), "snippet"))
+    packed = R.pack_context(sized.drop("snippet"), chars).filter("packed").drop("packed")
+    return sized.select("evidence", "snippet").join(packed, "evidence").orderBy("rank")
+
+
+def evidence(citations: DataFrame, owners: DataFrame) -> DataFrame:
+    """What citations (citation, owner_id, start, end, sha256) hold in their owners' texts now, and whether it is what was cited."""
+    return E.rehydrate(citations, owners)
+
+
+def asset_health(assets: DataFrame, stages: dict[str, DataFrame], key: str, budget: ReadBudget = ReadBudget()) -> DataFrame:
+    """Which stages each asset has been through and the first one it lacks."""
+    return budget.bounded(L.stage_facts(assets, stages, key).orderBy(key))
+
+
 def dedupe(files: DataFrame, preferred: list[str] = (), explicit: list[int] = (), verified: list[int] = ()) -> dict[str, DataFrame]:
     """plan, members, survivors and statistics of an inventory of files."""
     members = duplicate_members(keeper_ranks(files, preferred, explicit, verified))

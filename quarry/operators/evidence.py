@@ -17,11 +17,21 @@ from pyspark.sql import types as T
 
 from quarry.functions.text import fold_value
 
-#: Grammar words of queries in four languages, and words that make a query a question.
+#: Grammar words of queries in Spanish, English and German and Chinese particles, the auxiliary that a
+#: question drops too, and words that make a query a question.
 STOP = frozenset(
-    "a al con de del el en es la las lo los o para por que se su un una y an and are at by for from in is of on or the to what which with "
-    "der die das und ein eine im mit von zu ist 的 了 吗 嗎 呢".split()
+    (
+        "a al como cómo con cual cuales cuál cuáles de del donde dónde el en encuentra encontrar evidencia existe existen la las hay "
+        "informacion información lo los dame favor me necesito podria podrías podrias puede puedes quiero saber muestra mostrar o para "
+        "por que qué sobre un una y "
+        "an and are as at about by can could do does did evidence find for from in information is of on or show the there to please "
+        "what where which with you "
+        "auf das dem den der des die ein eine einem einen einer eines es evidenz für finde finden gibt im mit nachweis bitte kann können "
+        "konnte könnte mir oder uber und über von was welche welcher welches wo "
+        "的 了 吗 嗎 呢"
+    ).split()
 )
+AUXILIARY = "se"
 ASKING = frozenset("what which where when who how que qué cual cuál donde dónde cuando cuándo quien quién como cómo was welche wo wann wer wie".split())
 NEGATIONS = frozenset("no not never sin nunca jamas without ohne nicht kein keine".split())
 RELATIONS = frozenset("belong belongs relación relationship depende depends pertenece pertenecen usa uses".split())
@@ -50,8 +60,9 @@ def compile_query(text: str, most_terms: int = 32, most_chars: int = 4096) -> Qu
     words = list(dict.fromkeys(w.lower() for w in re.findall(r"[^\W_]+", text)))
     if not words or len(words) > most_terms:
         raise ValueError("a query has between one and most_terms terms")
-    content = [w for w in words if w not in STOP and w not in ASKING]
-    question = words[0] in ASKING and bool(content)
+    asked = words[0] in ASKING
+    content = [w for w in words if w not in STOP and not (asked and (w == AUXILIARY or w in ASKING))]
+    question = asked and bool(content)
     rungs = [("question_content_terms_all", [content])] if question else [("strict_all_terms", [words])]
     if not question and content and content != words:
         rungs.append(("content_terms_all", [content]))

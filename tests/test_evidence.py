@@ -66,3 +66,15 @@ def test_search_finds_what_a_document_says(spark):
     hits, complete = api.search(corpus, "zebra okapi", limit=3)
     assert [r.evidence for r in hits.collect()] == ["99"] and complete.first().status == "partial"
     assert api.operational_intent("list duplicate files") == "duplicates" and api.operational_intent("hello") is None
+
+
+def test_grammar_words_and_exports(spark):
+    assert E.compile_query("please find evidence about transformer oil").rungs[1] == ("content_terms_all", [["transformer", "oil"]])
+    assert E.compile_query("cómo se mide aceite").rungs == [("question_content_terms_all", [["mide", "aceite"]])]
+    import quarry
+
+    corpus = spark.createDataFrame([(1, "s", "pump oil test " * 9), (2, "s", "pump oil"), (3, "t", "nothing")], "doc_id long, source string, text string")
+    packed = quarry.context(corpus, "pump oil", chars=100).collect()
+    assert packed and sum(len(r.snippet) for r in packed) <= 100
+    assert [r.first_gap for r in quarry.asset_health(corpus, {"read": corpus.filter("doc_id < 3")}, "doc_id").collect()] == [None, None, "read"]
+    assert set(quarry.__all__) <= set(dir(__import__("quarry.api", fromlist=["api"])))
