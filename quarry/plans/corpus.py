@@ -315,7 +315,12 @@ def inventory_dispositions(spark, sf):
     return L.duplicate_relation(files.select("file_id"), members)
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS tick FROM events),
+s AS (SELECT user_id, min(tick) AS start FROM e GROUP BY user_id
+  UNION ALL SELECT s.user_id, min(e.tick) FROM s JOIN e ON e.user_id = s.user_id AND e.tick > s.start + 3600000 GROUP BY s.user_id, s.start)
+SELECT s.user_id, start, count(*) AS frames FROM s JOIN e ON e.user_id = s.user_id AND tick BETWEEN start AND start + 3600000 GROUP BY ALL"""
+)
 def frame_plan_fuse(spark, sf):
     millis = F.unix_millis(F.col("ts").cast("timestamp"))
     rows = table(spark, sf, "events").select("user_id", millis.alias("at"))

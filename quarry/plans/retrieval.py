@@ -171,7 +171,13 @@ def query_term_coverage(spark, sf):
     return found.select("doc_id", F.col("matched").cast("long").alias("matched"), F.round("coverage", 6).alias("coverage"), "phrase")
 
 
-@query()
+@query(
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS place FROM w),
+l AS (SELECT doc_id, place, max(place) FILTER (t = 'and') OVER o AS a, max(place) FILTER (t = 'the') OVER o AS b, max(place) FILTER (t = 'that') OVER o AS c
+  FROM p WHERE t IN ('and', 'the', 'that') WINDOW o AS (PARTITION BY doc_id ORDER BY place))
+SELECT doc_id, min(CASE WHEN a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL THEN place - least(a, b, c) + 1 END) AS span FROM l GROUP BY doc_id"""
+)
 def minimum_term_span(spark, sf):
     return R.term_support(table(spark, sf, "documents"), "doc_id", "text", ["and", "the", "that"]).select("doc_id", "span")
 
@@ -412,7 +418,14 @@ def overlap_clusters(spark, sf):
     return R.cluster_overlaps(rows, 10).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(
+    """WITH RECURSIVE h AS (SELECT conv_id AS query_id, turn AS rank, 'e' || turn AS evidence, length(text) AS chars,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+r AS (SELECT query_id, rank, evidence, chars, n, chars <= 900 AS packed, CASE WHEN chars <= 900 THEN 900 - chars ELSE 900 END AS rest FROM h WHERE n = 1
+  UNION ALL SELECT h.query_id, h.rank, h.evidence, h.chars, h.n, h.chars <= r.rest, CASE WHEN h.chars <= r.rest THEN r.rest - h.chars ELSE r.rest END
+  FROM r JOIN h ON h.query_id = r.query_id AND h.n = r.n + 1)
+SELECT query_id, rank, evidence, chars, packed, rest AS "left" FROM r"""
+)
 def context_packing(spark, sf):
     hits = table(spark, sf, "conversations").select(
         "conv_id", F.col("turn").alias("rank"), F.concat(F.lit("e"), F.col("turn").cast("string")).alias("evidence"), F.length("text").cast("long").alias("chars")
