@@ -60,7 +60,13 @@ def simhash_components(spark, sf):
     return N.group_summary(N.groups(pairs), pairs)
 
 
-@query()
+@query(
+    f"""WITH documents AS (SELECT conv_id || ':' || turn AS doc_id, text FROM conversations), {SIGNED},
+votes AS (SELECT CAST(split_part(doc_id, ':', 1) AS BIGINT) AS conv_id, i, sum(CASE WHEN (u >> CAST(i AS INTEGER)) & 1 = 1 THEN n_tokens ELSE -n_tokens END) AS v
+  FROM signed, generate_series(0, 63) g(i) GROUP BY ALL),
+rolled AS (SELECT conv_id, sum(CASE WHEN v >= 0 THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE 0 END) AS u FROM votes GROUP BY conv_id)
+SELECT conv_id, CAST(u - CASE WHEN u >= 9223372036854775808 THEN 18446744073709551616 ELSE 0 END AS BIGINT) AS simhash FROM rolled"""
+)
 def signature_rollup(spark, sf):
     """A conversation's signature from those of its turns, each weighted by its words."""
     turns = table(spark, sf, "conversations").select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("page"), "text")

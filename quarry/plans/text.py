@@ -120,7 +120,13 @@ def title_candidates(spark, sf):
     return docs(spark, sf).select("doc_id", X.clean_title(F.get(F.split("text", r"[\r\n]"), F.lit(0))).alias("title"))
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\r\n]'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')[1:24] AS lines FROM documents),
+c AS (SELECT doc_id, list_transform(lines, lambda x: regexp_replace(x, '^[ \-—_|:;,.\t]+|[ \-—_|:;,.\t]+$', '', 'g')) AS titles FROM t)
+SELECT doc_id, list_filter(titles, lambda title: length(title) BETWEEN 5 AND 180 AND NOT regexp_matches(title, '(?i)^(?:p[aá]gina|page|copyright|all rights reserved|hoja\d*|sheet\d*|elabor[oó]|revis[oó]|aprob[oó])\b')
+ AND NOT regexp_matches(title, '(?i)(?:@|https?://|www\.)') AND len(regexp_extract_all(title, '\p{L}+')) BETWEEN 2 AND 22
+ AND len(regexp_extract_all(title, '\p{L}')) / greatest(length(title), 1) >= 0.45)[1] AS title FROM c"""
+)
 def first_titles(spark, sf):
     return docs(spark, sf).select("doc_id", X.first_title(F.col("text")).alias("title"))
 
