@@ -1,14 +1,18 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped arrays.
+"""Interpolated modified Kneser-Ney trigram model, counted in Spark and scored from memory-mapped arrays.
 
 Counting takes two passes.  The first counts words; a word's id is its place in the order of 64-bit
-hashes.  The second counts pairs of ids and, from the distinct pairs, what Kneser-Ney smoothing needs:
-how many words a word follows, and how many words follow a context once, twice, and more often.  Tasks
-send sorted runs of keys and counts, compressed, to hash buckets, and a bucket's task merges its runs and
-writes one sorted array.  Scoring workers map these files into memory and look words and pairs up by
-binary search, so their own memory doesn't grow with the model.
+hashes.  The second counts triples of ids.  From the distinct triples follows what pairs need: how many
+words a pair follows, and how often, and by how many words once, twice and more often, it is followed
+itself; from the distinct pairs follows the same for words.  Tasks send sorted runs of keys and counts,
+compressed, to hash buckets, and a bucket's task merges its runs, writes one sorted array and sends runs
+of the next lower order on.  Scoring workers map these files into memory and look words, pairs and
+triples up by binary search, so their own memory doesn't grow with the model.
 
 The files lie in the shared folder.  Where that is not a file system that can be mapped, a worker copies
 them to its own disk first.
+
+A text begins after a start mark that is no token.  What follows the mark has no longer context, so the
+counts of such pairs are plain ones, and a text's first token is scored by pairs.
 """
 
 from __future__ import annotations
@@ -38,8 +42,15 @@ END = b" end"
 CHARS, KEYS = 4_000_000, 3_000_000
 #: The successors of one context are dealt to this many buckets.
 SPREAD = 16
-#: Bytes of text whose words and pairs one bucket gathers, and so one task merges.
-BUCKET_TEXT = 16 << 20
+#: Bytes of text whose words and triples one bucket gathers, and so one task merges.
+BUCKET_TEXT = 8 << 20
+#: Numbers kept of a pair: the words it follows, how often it is followed, and by how many words once, twice, more often.
+PAIR = 5
+#: Numbers kept of a word: the words that follow it after one other word, after two, after more, all such pairs, the words it follows.
+WORD = 5
+#: Buckets for counts of counts, beside those of keys.
+SUMMARIES = 16
+LOW = np.uint64(0xFFFFFFFF)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -54,29 +65,44 @@ def hashes(words: list[bytes]) -> np.ndarray:
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their counts (rows may have several columns)."""
+    """Sorted distinct keys and the sums of their counts; keys have one column or two, the second below 2**32."""
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first, axis=0)
+    lead = keys if keys.ndim == 1 else keys[:, 0]
+    order = np.argsort(lead)
+    new = np.diff(lead[order], prepend=lead[order[:1]]) != 0
+    if keys.ndim == 2:  # the place of the first column among its distinct values leaves room for the second
+        whole = np.empty(len(keys), np.uint64)
+        whole[order] = np.cumsum(new, dtype=np.uint64) << np.uint64(32)
+        whole |= keys[:, 1]
+        order = np.argsort(whole)
+        whole = whole[order]
+        new = np.diff(whole, prepend=whole[:1]) != 0
+    new[0] = True
+    first = np.flatnonzero(new)
+    return keys[order[first]], np.add.reduceat(counts[order], first, axis=0)
+
+
+def planes(x: np.ndarray) -> bytes:
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """A sorted run: differences of keys and counts, byte plane by byte plane, compressed."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    parts = (steps, np.ascontiguousarray(counts, np.uint32))
-    planes = [x.view(np.uint8).reshape(len(keys), -1).T.tobytes() for x in parts]
-    return len(keys).to_bytes(8, "little") + zstandard.compress(b"".join(planes), 3)
+    """A sorted run: differences of the leading keys, second keys and counts, byte plane by byte plane, compressed."""
+    lead = keys if keys.ndim == 1 else keys[:, 0]
+    parts = [np.diff(lead, prepend=np.uint64(0))] + ([np.ascontiguousarray(keys[:, 1])] if keys.ndim == 2 else [])
+    parts.append(np.ascontiguousarray(counts, np.uint64))
+    return len(keys).to_bytes(8, "little") + zstandard.compress(b"".join(map(planes, parts)), 3)
 
 
-def unpack(blob: bytes, columns: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def unpack(blob: bytes, columns: int = 1, key_columns: int = 1) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(blob[:8], "little")
     raw = np.frombuffer(zstandard.decompress(blob[8:]), np.uint8)
-    steps = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).reshape(n)
-    counts = np.ascontiguousarray(raw[8 * n :].reshape(4 * columns, n).T).view(np.uint32).reshape(n, columns)
-    return np.cumsum(steps, dtype=np.uint64), counts if columns > 1 else counts[:, 0]
+    numbers = np.ascontiguousarray(raw[: 8 * n * key_columns].reshape(key_columns, 8, n).transpose(0, 2, 1)).view(np.uint64)
+    keys = numbers.reshape(key_columns, n).T.copy()
+    keys[:, 0] = np.cumsum(keys[:, 0], dtype=np.uint64)
+    counts = np.ascontiguousarray(raw[8 * n * key_columns :].reshape(8 * columns, n).T).view(np.uint64).reshape(n, columns)
+    return keys if key_columns > 1 else keys[:, 0], counts if columns > 1 else counts[:, 0]
 
 
 def word_bucket(h: np.ndarray, bits: int) -> np.ndarray:
@@ -84,12 +110,20 @@ def word_bucket(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def pair_bucket(keys: np.ndarray, bits: int) -> np.ndarray:
-    context, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
+    context, word = keys >> np.uint64(32), keys & LOW
     return (mixed(context * np.uint64(SPREAD) + word % np.uint64(SPREAD) + np.uint64(1)) >> np.uint64(64 - bits)).astype(
         np.int64
     )
 
 
+def triple_bucket(contexts: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(mixed(contexts) + words % np.uint64(SPREAD)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def triple_hash(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mixed(mixed(contexts + np.uint64(1)) + words)
+
+
 class Runs:
     """Collects keys and counts of one task and yields them as packed runs by bucket."""
 
@@ -111,13 +145,7 @@ class Runs:
         keys, counts = summed(*map(np.concatenate, zip(*self.held, strict=True)))
         self.held, self.n = [], 0
         bucket = self.bucket_of(keys)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        buckets, blobs = [], []
-        for part in np.split(order, cuts[1:]):
-            if len(part):
-                buckets.append(int(bucket[part[0]]))
-                blobs.append(pack(keys[part], counts[part]))
+        buckets, blobs = zip(*cut_runs(bucket, keys, counts), strict=True)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(buckets, pa.int32()), "run": pa.array(blobs, pa.binary())})
 
 
@@ -146,18 +174,20 @@ def write_array(uri: str, data: np.ndarray) -> None:
 
 
 def write_counts(uri: str, counts: np.ndarray) -> None:
-    """In the narrowest unsigned type that holds them."""
-    write_array(uri, counts.astype(np.min_scalar_type(int(counts.max(initial=0)))))
+    """One byte each; the few counts of 255 and more lie apart, with their places."""
+    counts = counts.reshape(-1)
+    write_array(uri, np.minimum(counts, 255).astype(np.uint8))
+    large = np.flatnonzero(counts >= 255)
+    if len(large):
+        write_array(f"{uri}-large", np.column_stack([large.astype(np.uint64), counts[large].astype(np.uint64)]))
 
 
-def map_array(uri: str, dtype, columns: int = 0, rows: int = 0) -> np.ndarray:
-    """The array written to a file, empty if there is none; with rows, the type follows from the file's size."""
+def map_array(uri: str, dtype, columns: int = 0) -> np.ndarray:
+    """The array written to a file, empty if there is none."""
     fs, path = pafs.FileSystem.from_uri(uri)
     info = fs.get_file_info(path)
     if info.type == pafs.FileType.NotFound or info.size == 0:
         return np.zeros((0, columns) if columns else 0, dtype)
-    if rows:
-        dtype = np.dtype(f"u{info.size // rows}")
     if not isinstance(fs, pafs.LocalFileSystem):
         own = tempfile.mkdtemp(prefix="quarry-model-")
         atexit.register(shutil.rmtree, own, True)
@@ -167,20 +197,40 @@ def map_array(uri: str, dtype, columns: int = 0, rows: int = 0) -> np.ndarray:
     return data.reshape(-1, columns) if columns else data
 
 
-def merged(runs: DataFrame, buckets: int, columns: int, write: Callable, result: str) -> DataFrame:
+def merged(runs: DataFrame, buckets: int, columns: int, write: Callable, result: str, key_columns: int = 1) -> DataFrame:
     """Merge each bucket's runs in one task; write(bucket, keys, counts) yields result rows as dicts of lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, 1):
-            keys, counts = zip(*[unpack(x.as_py(), columns) for x in group.column("run")], strict=True)
-            for row in write(group.column("bucket")[0].as_py(), *summed(np.concatenate(keys), np.concatenate(counts))):
+            bucket = group.column("bucket")[0].as_py()
+            keys, counts = zip(*[unpack(x.as_py(), columns, key_columns) for x in group.column("run")], strict=True)
+            del group
+            found = summed(np.concatenate(keys), np.concatenate(counts))
+            del keys, counts
+            for row in write(bucket, *found):
                 yield pa.RecordBatch.from_pydict(row)
 
     return runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), result)
 
 
+def cut_runs(buckets: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """A packed run for every bucket; keys are in order."""
+    order = np.argsort(buckets, kind="stable")
+    cuts = np.flatnonzero(np.diff(buckets[order], prepend=-1))
+    for part in np.split(order, cuts[1:]):
+        if len(part):
+            yield int(buckets[part[0]]), pack(keys[part], counts[part])
+
+
+def kinds(counts: np.ndarray) -> np.ndarray:
+    """Three columns: whether a count is one, two, more."""
+    found = np.zeros((len(counts), 3), np.uint64)
+    found[np.arange(len(counts)), np.minimum(counts, 3).astype(np.int64) - 1] = 1
+    return found
+
+
 @dataclass
-class BigramModel:
+class TrigramModel:
     """Where the arrays are, and the few numbers that go with them."""
 
     place: str
@@ -190,10 +240,17 @@ class BigramModel:
     vocabulary: int
     documents: int
     pairs: int = 0
-    discounts: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    triples: int = 0
+    discounts: np.ndarray = field(default_factory=lambda: np.zeros(4))  # of triples
+    pair_discounts: np.ndarray = field(default_factory=lambda: np.zeros(4))
     word_discounts: np.ndarray = field(default_factory=lambda: np.zeros(4))
     word_weight: float = 1.0  # what the word distribution leaves to a uniform one
 
+    @property
+    def start(self) -> int:
+        """Id of the mark before a text; one more is the id of what would stand before that."""
+        return self.vocabulary
+
     @property
     def range_size(self) -> int:
         """Ids in one file of neighbour counts."""
@@ -204,16 +261,24 @@ class BigramModel:
 
 
 class Reader:
-    """Looks words and pairs up in the mapped arrays of one model."""
+    """Looks words, pairs and triples up in the mapped arrays of one model."""
 
-    def __init__(self, model: BigramModel):
+    def __init__(self, model: TrigramModel):
         self.model, self.files = model, {}
 
-    def _file(self, name: str, dtype, columns: int = 0, rows: int = 0) -> np.ndarray:
+    def _file(self, name: str, dtype, columns: int = 0) -> np.ndarray:
         if name not in self.files:
-            self.files[name] = map_array(f"{self.model.place}/{name}", dtype, columns, rows)
+            self.files[name] = map_array(f"{self.model.place}/{name}", dtype, columns)
         return self.files[name]
 
+    def _counts(self, name: str, at: np.ndarray) -> np.ndarray:
+        found = self._file(name, np.uint8)[at].astype(np.int64)
+        large = found == 255
+        if large.any():
+            table = self._file(f"{name}-large", np.uint64, 2)
+            found[large] = table[np.searchsorted(table[:, 0], at[large].astype(np.uint64)), 1]
+        return found
+
     @staticmethod
     def _each(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = np.argsort(bucket, kind="stable")
@@ -237,23 +302,34 @@ class Reader:
             at, found = self._find(table, h[part])
             if found.any():
                 ids[part[found]] = self.model.starts[b] + at[found]
-                counts[part[found]] = self._file(f"word-counts-{b}", None, rows=len(table))[at[found]]
+                counts[part[found]] = self._counts(f"word-counts-{b}", at[found])
         return ids, counts
 
     def pairs(self, keys: np.ndarray) -> np.ndarray:
-        counts = np.zeros(len(keys), np.int64)
+        """The PAIR numbers of distinct sorted pairs."""
+        counts = np.zeros((len(keys), PAIR), np.int64)
         for b, part in self._each(pair_bucket(keys, self.model.bits)):
-            table = self._file(f"pairs-{b}", np.uint64)
-            at, found = self._find(table, keys[part])
+            at, found = self._find(self._file(f"pairs-{b}", np.uint64), keys[part])
+            if found.any():
+                counts[part[found]] = self._counts(f"pair-counts-{b}", at[found, None] * PAIR + np.arange(PAIR))
+        return counts
+
+    def triples(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Training counts of triples."""
+        counts = np.zeros(len(contexts), np.int64)
+        keys = triple_hash(contexts, words)
+        for b, part in self._each(triple_bucket(contexts, words, self.model.bits)):
+            part = part[np.argsort(keys[part])]  # neighbours in the array are looked up one after another
+            at, found = self._find(self._file(f"triples-{b}", np.uint64), keys[part])
             if found.any():
-                counts[part[found]] = self._file(f"pair-counts-{b}", None, rows=len(table))[at[found]]
+                counts[part[found]] = self._counts(f"triple-counts-{b}", at[found])
         return counts
 
     def around(self, ids: np.ndarray) -> np.ndarray:
-        """Per id: how many words follow it once, twice, more often, and how many words it follows."""
-        out, size = np.zeros((len(ids), 4), np.int64), self.model.range_size
+        """The WORD numbers of words."""
+        out, size = np.zeros((len(ids), WORD), np.int64), self.model.range_size
         for r, part in self._each(ids // size):
-            table = self._file(f"around-{r}", np.uint32, 4)
+            table = self._file(f"around-{r}", np.uint64, WORD)
             at = ids[part] - r * size
             inside = at < len(table)
             out[part[inside]] = table[at[inside]]
@@ -269,7 +345,7 @@ def kneser_ney_discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarr
     return np.array([min(max(x, 0.0), max(k - 0.05, 0.0)) for k, x in enumerate(d)])
 
 
-def train(rows: DataFrame, text_col: str = "text", buckets: int | None = None) -> BigramModel:
+def train(rows: DataFrame, text_col: str = "text", buckets: int | None = None) -> TrigramModel:
     """Count the model over every row of the table; a null text is empty and still has its end token.
 
     buckets (a power of two is taken) follows from the bytes of text unless given, so that what one task
@@ -280,7 +356,7 @@ def train(rows: DataFrame, text_col: str = "text", buckets: int | None = None) -
     texts = rows.select(F.col(text_col).alias("text"))
     wanted = buckets or -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_TEXT)
     bits = max(1, (wanted - 1).bit_length())
-    place = new_path(spark, "bigrams")
+    place = new_path(spark, "trigrams")
     if place.startswith("/"):
         place = f"file://{place}"
 
@@ -288,7 +364,7 @@ def train(rows: DataFrame, text_col: str = "text", buckets: int | None = None) -
         runs = Runs(lambda h: word_bucket(h, bits))
         for _, found in chunks(batches, 0):
             keys, counts = np.unique(hashes([w for t in found for w in t]), return_counts=True)
-            yield from runs.add(keys, counts.astype(np.uint32))
+            yield from runs.add(keys, counts.astype(np.uint64))
         yield from runs.flush()
 
     def write_words(bucket: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[dict]:
@@ -304,114 +380,148 @@ def train(rows: DataFrame, text_col: str = "text", buckets: int | None = None) -
     sizes = np.zeros(1 << bits, np.int64)
     for row in made:
         sizes[row.bucket] = row.n
-    model = BigramModel(
+    model = TrigramModel(
         place, bits, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sum(r.total for r in made), int(sizes.sum()), sum(r.ends for r in made)
     )
     if not model.train_tokens:
         return model
-    if model.vocabulary >= 1 << 32:
+    if model.vocabulary + 2 > 1 << 32:
         raise ValueError("pairs are packed of two ids of 32 bits; the corpus has more different words")
+    before_text = np.uint64((model.start + 1) << 32 | model.start)
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, reader = Runs(lambda k: pair_bucket(k, bits)), model.reader()
+    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, reader = Runs(lambda k: triple_bucket(k[:, 0], k[:, 1], bits)), model.reader()
         for _, found in chunks(batches, 0):
-            keys, _, _, _ = pair_keys(reader, found)
-            keys, counts = np.unique(keys, return_counts=True)
-            yield from runs.add(keys, counts.astype(np.uint32))
+            pairs, ids, first, _ = pair_keys(reader, found)
+            context = _placed(pairs, first, before_text)
+            yield from runs.add(np.column_stack([context, ids.astype(np.uint64)]), np.ones(len(ids), np.uint64))
         yield from runs.flush()
 
+    def summary(level: int, bucket: int, counts: np.ndarray) -> tuple[int, bytes]:
+        """Counts of the counts 1 to 4, and of all, as a run for a bucket of their own."""
+        numbers = [np.count_nonzero(counts == k) for k in (1, 2, 3, 4)] + [len(counts)]
+        return (1 << bits) + bucket % SUMMARIES, pack(np.array([level], np.uint64), np.array([numbers]))
+
+    def write_triples(bucket: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[dict]:
+        context, word = keys[:, 0], keys[:, 1]
+        first = context == before_text
+        pairs, follows = summed((context & LOW) << np.uint64(32) | word, np.where(first, counts, np.uint64(1)))
+        context, word, counts = context[~first], word[~first], counts[~first]
+        found = triple_hash(context, word)
+        order = np.argsort(found)
+        write_array(f"{place}/triples-{bucket}", found[order])
+        write_counts(f"{place}/triple-counts-{bucket}", counts[order])
+        del found, order
+        contexts, followed = summed(context, np.column_stack([counts, kinds(counts)]))
+        sums = np.zeros((len(pairs) + len(contexts), PAIR), np.uint64)
+        sums[: len(pairs), 0], sums[len(pairs) :, 1:] = follows, followed
+        pairs, sums = summed(np.concatenate([pairs, contexts]), sums)
+        for own, run in [*cut_runs(pair_bucket(pairs, bits), pairs, sums), summary(3, bucket, counts)]:
+            yield {"bucket": pa.array([own], pa.int32()), "run": pa.array([run], pa.binary())}
+
     size = model.range_size
 
     def write_pairs(bucket: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[dict]:
+        if bucket >= 1 << bits:  # sums of summaries
+            yield {"bucket": pa.array([bucket], pa.int32()), "run": pa.array([pack(keys, counts)], pa.binary())}
+            return
         write_array(f"{place}/pairs-{bucket}", keys)
         write_counts(f"{place}/pair-counts-{bucket}", counts)
-        some = np.zeros((len(keys), 4), np.uint32)
-        some[np.arange(len(keys)), np.minimum(counts, 3) - 1] = 1
-        contexts, follow = summed(keys >> np.uint64(32), some)
-        ones = np.zeros((len(keys), 4), np.uint32)
-        ones[:, 3] = 1
-        followed = summed(keys & np.uint64(0xFFFFFFFF), ones)
-        ids, sums = summed(np.concatenate([contexts, followed[0]]), np.concatenate([follow, followed[1]]))
-        ranges = (ids // np.uint64(size)).astype(np.int64)
-        ends = np.searchsorted(ranges, np.unique(ranges), "right")
-        begin = 0
-        of_counts = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-        for end in ends.tolist():
-            yield {
-                "bucket": pa.array([int(ranges[begin])], pa.int32()),
-                "run": pa.array([pack(ids[begin:end], sums[begin:end])], pa.binary()),
-                "seen": pa.array([of_counts if not begin else [0, 0, 0, 0]], pa.list_(pa.int64())),
-                "pairs": pa.array([len(keys) if not begin else 0], pa.int64()),
-            }
-            begin = end
-
-    around = stored(
-        merged(
-            texts.mapInArrow(tidy(count_pairs), "bucket int, run binary"), 1 << bits, 1, write_pairs,
-            "bucket int, run binary, seen array<long>, pairs long",
-        ),
-        "around",
-    )
-    totals = around.agg(F.sum("pairs"), *[F.sum(F.col("seen")[k]) for k in range(4)]).first()
-    model.pairs, model.discounts = totals[0], kneser_ney_discounts(*totals[1:])
-
-    def write_around(bucket: int, ids: np.ndarray, sums: np.ndarray) -> Iterator[dict]:
-        table = np.zeros((size, 4), np.uint32)
+        follows = counts[:, 0]
+        sums = np.zeros((2 * len(keys), WORD), np.uint64)
+        sums[: len(keys), :3], sums[: len(keys), 3], sums[len(keys) :, 4] = kinds(follows), follows, 1
+        ids, sums = summed(np.concatenate([keys >> np.uint64(32), keys & LOW]), sums)
+        for own, run in [*cut_runs((ids // np.uint64(size)).astype(np.int64), ids, sums), summary(2, bucket, follows)]:
+            yield {"bucket": pa.array([own], pa.int32()), "run": pa.array([run], pa.binary())}
+
+    def write_words_around(bucket: int, ids: np.ndarray, sums: np.ndarray) -> Iterator[dict]:
+        if bucket >= 1 << bits:
+            for level, numbers in zip(ids.tolist(), sums.tolist(), strict=True):
+                yield {"level": pa.array([level], pa.int64()), "seen": pa.array([numbers], pa.list_(pa.int64()))}
+            return
+        table = np.zeros((size, WORD), np.uint64)
         table[(ids - np.uint64(bucket * size)).astype(np.int64)] = sums
         write_array(f"{place}/around-{bucket}", table)
-        after = table[:, 3]
-        yield {"seen": pa.array([[int((after == k).sum()) for k in (1, 2, 3, 4)]], pa.list_(pa.int64())), "more": [int((after > 2).sum())]}
-
-    found = merged(around.select("bucket", "run"), 1 << bits, 4, write_around, "seen array<long>, more long")
-    totals = found.agg(*[F.sum(F.col("seen")[k]) for k in range(4)], F.sum("more")).first()
-    model.word_discounts = d = kneser_ney_discounts(*totals[:4])
-    model.word_weight = float((d[1] * totals[0] + d[2] * totals[1] + d[3] * totals[4]) / model.pairs)
+        follows = sums[:, 4][sums[:, 4] > 0]  # no word but the start mark follows none
+        numbers = [np.count_nonzero(follows == k) for k in (1, 2, 3, 4)] + [len(follows)]
+        yield {"level": pa.array([1], pa.int64()), "seen": pa.array([numbers], pa.list_(pa.int64()))}
+
+    run = "bucket int, run binary"
+    triples = merged(texts.mapInArrow(tidy(count_triples), run), 1 << bits, 1, write_triples, run, 2)
+    pairs = merged(triples, 1 << bits, PAIR, write_pairs, run)
+    found = merged(pairs, 1 << bits, WORD, write_words_around, "level long, seen array<long>")
+    totals = {r.level: r[1:] for r in found.groupBy("level").agg(*[F.sum(F.col("seen")[k]) for k in range(5)]).collect()}
+    model.triples, model.pairs = totals.get(3, [0] * 5)[4], totals[2][4]
+    model.discounts, model.pair_discounts, model.word_discounts = (kneser_ney_discounts(*totals.get(k, [0] * 5)[:4]) for k in (3, 2, 1))
+    once, twice = totals[1][:2]
+    model.word_weight = float(model.word_discounts[1:] @ [once, twice, totals[1][4] - once - twice] / model.pairs)
     return model
 
 
 def pair_keys(reader: Reader, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pair key, word id, context id and word count of every token; an unknown word's id is -1, its keys mean nothing."""
+    """Pair key and word id of every token, places of first tokens, word counts; an unknown word's id is -1, its keys mean nothing."""
     lengths = np.array([len(t) for t in texts])
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     h, back = np.unique(hashes([w for t in texts for w in t]), return_inverse=True)
     ids, counts = reader.words(h)
     ids, counts = ids[back], counts[back]
     context = np.empty_like(ids)
     context[1:] = ids[:-1]
-    context[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = reader.model.vocabulary
-    return (context.astype(np.uint64) << np.uint64(32)) | (ids & 0xFFFFFFFF).astype(np.uint64), ids, context, counts
+    context[first] = reader.model.start
+    return (context.astype(np.uint64) << np.uint64(32)) | (ids & 0xFFFFFFFF).astype(np.uint64), ids, first, counts
 
 
 def score_tokens(reader: Reader, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability and training count of every token."""
     model = reader.model
-    keys, ids, context, counts = pair_keys(reader, texts)
+    keys, ids, first, counts = pair_keys(reader, texts)
     uniform = 1.0 / (model.vocabulary + 1)
     if not model.train_tokens:
         return np.full(len(ids), np.log10(uniform)), counts
+    context = _placed(ids, first, model.start)
     known, has_context = ids >= 0, context >= 0
     some, at = np.unique(np.concatenate([ids[known], context[has_context]]), return_inverse=True)
-    around = reader.around(some)
-    follows = np.zeros(len(ids), np.int64)
-    follows[known] = around[at[: known.sum()], 3]
-    after = np.zeros((len(ids), 3))
-    after[has_context] = around[at[known.sum() :], :3]
-    d = model.word_discounts
-    p = np.maximum(follows - d[np.minimum(follows, 3)], 0) / model.pairs + model.word_weight * uniform
-    total = np.zeros(len(ids))
-    total[1:] = counts[:-1]
-    total[context == model.vocabulary] = model.documents
-    both = known & has_context
+    around = reader.around(some)[at]
+    # words
+    follows, after = np.zeros(len(ids), np.int64), np.zeros((len(ids), 4), np.int64)
+    follows[known], after[has_context] = around[: known.sum(), 4], around[known.sum() :, :4]
+    p = _discounted(follows, model.word_discounts) / model.pairs + model.word_weight * uniform
+    # pairs
+    both = np.flatnonzero(known & has_context)
     distinct, back = np.unique(keys[both], return_inverse=True)
+    pairs = np.zeros((len(ids), PAIR), np.int64)
+    pairs[both] = reader.pairs(distinct)[back]
+    p = _interpolated(p, pairs[:, 0], after[:, 3], after[:, :3], model.pair_discounts)
+    # triples: what is known of the pair before is known of the context
+    contexts, earlier = _placed(keys, first, 0), _placed(pairs, first, 0)
+    met = np.flatnonzero((earlier[:, 1] > 0) & (pairs[:, 0] > 0))
     together = np.zeros(len(ids), np.int64)
-    together[both] = reader.pairs(distinct)[back]
-    d = model.discounts
-    weight = after @ d[1:]
-    seen = has_context & (total > 0)
-    p[seen] = (np.maximum(together[seen] - d[np.minimum(together[seen], 3)], 0) + weight[seen] * p[seen]) / total[seen]
-    return np.log10(p), counts
+    together[met] = reader.triples(contexts[met], ids[met].astype(np.uint64))
+    return np.log10(_interpolated(p, together, earlier[:, 1], earlier[:, 2:], model.discounts)), counts
+
+
+def _placed(x: np.ndarray, first: np.ndarray, at_start: int) -> np.ndarray:
+    """For every token the value of the token before it in its text."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[first] = at_start
+    return out
+
+
+def _discounted(counts: np.ndarray, discounts: np.ndarray) -> np.ndarray:
+    return np.maximum(counts - discounts[np.minimum(counts, 3)], 0)
+
+
+def _interpolated(p: np.ndarray, counts: np.ndarray, total: np.ndarray, kinds: np.ndarray, discounts: np.ndarray) -> np.ndarray:
+    """Probabilities with one more word of context, where the context was met; p are those with one less."""
+    met = total > 0
+    more = (_discounted(counts[met], discounts) + (kinds[met] @ discounts[1:]) * p[met]) / total[met]
+    out = p.copy()
+    out[met] = more
+    return out
 
 
-def score(docs: DataFrame, model: BigramModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: TrigramModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score and perplexity.
 
     score is the model's log10 probability of the whole text with its end token; base_score that of

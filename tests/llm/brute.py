@@ -58,23 +58,25 @@ def lm_words(text):
 
 
 class KneserNey:
-    """Interpolated modified Kneser-Ney over word pairs."""
+    """Interpolated modified Kneser-Ney over triples of words; what follows the start mark is counted plainly."""
 
     def __init__(self, texts):
-        self.words, self.pairs = Counter(), Counter()
+        self.words, self.triples, self.pairs, self.follows = Counter(), Counter(), Counter(), Counter()
         for t in texts:
             tokens = lm_words(t)
             self.words.update(tokens)
-            self.pairs.update(zip(["<s>", *tokens], tokens))
-        self.context = Counter()
-        self.kinds = defaultdict(Counter)
-        self.follows = Counter()
-        for (v, w), c in self.pairs.items():
-            self.context[v] += c
-            self.kinds[v][min(c, 3)] += 1
+            self.pairs["<s>", tokens[0]] += 1
+            self.triples.update(zip(["<s>", *tokens], tokens, tokens[1:]))
+        for _, v, w in self.triples:
+            self.pairs[v, w] += 1
+        for _, w in self.pairs:
             self.follows[w] += 1
-        self.d = self.discounts(Counter(self.pairs.values()))
-        self.dw = self.discounts(Counter(self.follows.values()))
+        self.total, self.kinds = Counter(), defaultdict(Counter)
+        for grams in (self.triples, self.pairs):
+            for gram, c in grams.items():
+                self.total[gram[:-1]] += c
+                self.kinds[gram[:-1]][min(c, 3)] += 1
+        self.d = {n: self.discounts(Counter(x.values())) for n, x in ((3, self.triples), (2, self.pairs), (1, self.follows))}
 
     @staticmethod
     def discounts(n):
@@ -87,20 +89,24 @@ class KneserNey:
     def word(self, w):
         total = len(self.pairs)
         kinds = Counter(min(c, 3) for c in self.follows.values())
-        left = sum(self.dw[k] * n for k, n in kinds.items()) / total
+        left = sum(self.d[1][k] * n for k, n in kinds.items()) / total
         c = self.follows[w]
-        return max(c - self.dw[min(c, 3)], 0) / total + left / (len(self.words) + 1)
+        return max(c - self.d[1][min(c, 3)], 0) / total + left / (len(self.words) + 1)
 
-    def pair(self, v, w):
-        if not self.context[v]:
+    def after(self, context, w):
+        """Probability of a word after the words of a context, two at most."""
+        if not context:
             return self.word(w)
-        c = self.pairs[v, w]
-        left = sum(self.d[k] * n for k, n in self.kinds[v].items())
-        return (max(c - self.d[min(c, 3)], 0) + left * self.word(w)) / self.context[v]
+        shorter = self.after(context[1:], w)
+        if not self.total[context]:
+            return shorter
+        c, d = (self.triples if len(context) == 2 else self.pairs)[(*context, w)], self.d[len(context) + 1]
+        left = sum(d[k] * n for k, n in self.kinds[context].items())
+        return (max(c - d[min(c, 3)], 0) + left * shorter) / self.total[context]
 
     def score(self, text):
-        tokens = lm_words(text)
-        return sum(math.log10(self.pair(v, w)) for v, w in zip(["<s>", *tokens], tokens))
+        tokens = ["<s>", *lm_words(text)]
+        return sum(math.log10(self.after(tuple(tokens[max(i - 2, 0) : i]), tokens[i])) for i in range(1, len(tokens)))
 
     def base(self, text):
         n, size = sum(self.words.values()), len(self.words)

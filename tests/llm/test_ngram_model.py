@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,8 +26,9 @@ def test_scores_against_plain_kneser_ney(spark, docs):
 
 def test_probabilities_sum_to_one(docs):
     model = brute.KneserNey([r.text for r in docs.limit(20).collect()])
-    for v in ["<s>", "the", "never met"]:
-        total = sum(model.pair(v, w) for w in model.words) + model.pair(v, "another word never met")
+    some = sorted(model.triples, key=str)[:: len(model.triples) // 3]
+    for context in [("<s>",), ("the",), ("never met",), ("never met", "the"), *[t[:2] for t in some]]:
+        total = sum(model.after(context, w) for w in model.words) + model.after(context, "another word never met")
         assert total == pytest.approx(1, abs=1e-9)
 
 
@@ -41,10 +43,29 @@ def test_hard_rows_and_empty_tables(hard, empty):
     assert lm.score(empty, nothing).count() == 0
 
 
-def test_runs_survive_packing():
-    import numpy as np
+def test_frequent_words_and_many_buckets(spark):
+    texts = ["a b a b a b c " * 200, "a b", "b", "", None, *[f"a b w{k}" for k in range(400)], "a b w7"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = brute.KneserNey(texts)
+    for buckets in (1, 32):
+        model = lm.train(rows, buckets=buckets)
+        assert (model.triples, model.pairs) == (len(plain.triples), len(plain.pairs))
+        for r in lm.score(rows, model).collect():
+            assert r.score == pytest.approx(plain.score(texts[r.doc_id]), rel=1e-9)
+
 
-    keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000, dtype=np.uint64))
-    counts = np.arange(4000, dtype=np.uint32).reshape(1000, 4)
+def test_runs_survive_packing():
+    rng = np.random.default_rng(1)
+    keys = np.sort(rng.integers(0, 2**63, 1000, dtype=np.uint64))
+    counts = np.arange(4000, dtype=np.uint64).reshape(1000, 4) << np.uint64(30)
     again = lm.unpack(lm.pack(keys, counts), 4)
     assert (again[0] == keys).all() and (again[1] == counts).all()
+    double = np.column_stack([keys, rng.integers(0, 2**32, 1000, dtype=np.uint64)])
+    again = lm.unpack(lm.pack(double, counts[:, 0]), 1, 2)
+    assert (again[0] == double).all() and (again[1] == counts[:, 0]).all()
+
+
+def test_sums_of_equal_keys():
+    keys = np.array([[5, 2], [5, 1], [3, 9], [5, 2], [0, 0]], np.uint64)
+    found = lm.summed(keys, np.arange(1, 6, dtype=np.uint64))
+    assert found[0].tolist() == [[0, 0], [3, 9], [5, 1], [5, 2]] and found[1].tolist() == [5, 3, 2, 5]
