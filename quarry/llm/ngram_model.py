@@ -22,6 +22,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,11 +30,11 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.jaccard_join import mixed, sorted_groups
-from quarry.llm.scratch import new_path, ship, stored
+from quarry.llm.scratch import delete, new_path, ship
 from quarry.llm.workers import tidy
 
 #: A token that no text can hold: words have no space.
@@ -50,6 +51,9 @@ PAIR = 5
 WORD = 5
 #: Buckets for counts of counts, beside those of keys.
 SUMMARIES = 16
+#: Parts in which runs are merged one after another, so that few lie on disk twice.
+PARTS = 4
+RUN = "bucket int, run binary"
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -83,25 +87,27 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[order[first]], np.add.reduceat(counts[order], first, axis=0)
 
 
-def planes(x: np.ndarray) -> bytes:
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
-
-
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """A sorted run: differences of the leading keys, second keys and counts, byte plane by byte plane, compressed."""
-    lead = keys if keys.ndim == 1 else keys[:, 0]
-    parts = [np.diff(lead, prepend=np.uint64(0))] + ([np.ascontiguousarray(keys[:, 1])] if keys.ndim == 2 else [])
-    parts.append(np.ascontiguousarray(counts, np.uint64))
-    return len(keys).to_bytes(8, "little") + zstandard.compress(b"".join(map(planes, parts)), 3)
+    """A sorted run: differences of the leading keys, second keys and counts, each column in the bytes it needs, compressed."""
+    columns = [*np.atleast_2d(keys.T), *np.atleast_2d(counts.T.astype(np.uint64))]
+    columns[0] = np.diff(columns[0], prepend=np.uint64(0))
+    widths, planes = [], []
+    for x in columns:
+        widths.append((int(x.max(initial=0)).bit_length() + 7) // 8)
+        planes += [(x >> np.uint64(8 * k)).astype(np.uint8).tobytes() for k in range(widths[-1])]
+    return len(keys).to_bytes(8, "little") + bytes(widths) + zstandard.compress(b"".join(planes), 1)
 
 
 def unpack(blob: bytes, columns: int = 1, key_columns: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
-    raw = np.frombuffer(zstandard.decompress(blob[8:]), np.uint8)
-    numbers = np.ascontiguousarray(raw[: 8 * n * key_columns].reshape(key_columns, 8, n).transpose(0, 2, 1)).view(np.uint64)
-    keys = numbers.reshape(key_columns, n).T.copy()
-    keys[:, 0] = np.cumsum(keys[:, 0], dtype=np.uint64)
-    counts = np.ascontiguousarray(raw[8 * n * key_columns :].reshape(8 * columns, n).T).view(np.uint64).reshape(n, columns)
+    n, total = int.from_bytes(blob[:8], "little"), columns + key_columns
+    raw = np.frombuffer(zstandard.decompress(blob[8 + total :]), np.uint8)
+    numbers, at = np.zeros((total, n), np.uint64), 0
+    for x, width in zip(numbers, blob[8 : 8 + total], strict=True):
+        for k in range(width):
+            x |= raw[at : at + n].astype(np.uint64) << np.uint64(8 * k)
+            at += n
+    numbers[0] = np.cumsum(numbers[0], dtype=np.uint64)
+    keys, counts = numbers[:key_columns].T, numbers[key_columns:].T
     return keys if key_columns > 1 else keys[:, 0], counts if columns > 1 else counts[:, 0]
 
 
@@ -213,6 +219,34 @@ def merged(runs: DataFrame, buckets: int, columns: int, write: Callable, result:
     return runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), result)
 
 
+def add_runs(runs: DataFrame, place: str) -> None:
+    """Add runs to the table of runs at a place, dealt to PARTS folders by bucket."""
+    dealt = runs.withColumn("part", F.col("bucket") % PARTS)
+    dealt.write.mode("append").option("compression", "none").partitionBy("part").parquet(place)
+
+
+def merged_parts(place: str, like: DataFrame, buckets: int, columns: int, write: Callable, key_columns: int = 1) -> str:
+    """Merge the runs of the table at a place part by part and delete them; the runs that result lie at the returned place."""
+    spark, after = like.sparkSession, new_path(like.sparkSession, "runs")
+    for part in range(PARTS):
+        runs = spark.read.schema(f"{RUN}, part int").parquet(place).filter(F.col("part") == part).drop("part")
+        add_runs(merged(runs, -(-buckets // PARTS), columns, write, RUN, key_columns), after)
+        delete(spark, [f"{place}/part={part}"])
+    return after
+
+
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile, what a query shuffled is deleted when the query ends, as its result is in the shared folder by then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut_runs(buckets: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """A packed run for every bucket; keys are in order."""
     order = np.argsort(buckets, kind="stable")
@@ -373,10 +407,9 @@ def train(rows: DataFrame, text_col: str = "text", buckets: int | None = None) -
         end = keys == np.uint64(xxhash.xxh3_64_intdigest(END))
         yield {"bucket": [bucket], "n": [len(keys)], "total": [int(counts.sum())], "ends": [int(counts[end].sum())]}
 
-    made = merged(
-        texts.mapInArrow(tidy(count_words), "bucket int, run binary"), 1 << bits, 1, write_words,
-        "bucket long, n long, total long, ends long",
-    ).collect()
+    with shuffles_released(spark):
+        runs = texts.mapInArrow(tidy(count_words), RUN)
+        made = merged(runs, 1 << bits, 1, write_words, "bucket long, n long, total long, ends long").collect()
     sizes = np.zeros(1 << bits, np.int64)
     for row in made:
         sizes[row.bucket] = row.n
@@ -446,10 +479,13 @@ def train(rows: DataFrame, text_col: str = "text", buckets: int | None = None) -
         numbers = [np.count_nonzero(follows == k) for k in (1, 2, 3, 4)] + [len(follows)]
         yield {"level": pa.array([1], pa.int64()), "seen": pa.array([numbers], pa.list_(pa.int64()))}
 
-    run = "bucket int, run binary"
-    triples = merged(texts.mapInArrow(tidy(count_triples), run), 1 << bits, 1, write_triples, run, 2)
-    pairs = merged(triples, 1 << bits, PAIR, write_pairs, run)
-    found = merged(pairs, 1 << bits, WORD, write_words_around, "level long, seen array<long>")
+    with shuffles_released(spark):
+        triples = new_path(spark, "runs")
+        add_runs(texts.mapInArrow(tidy(count_triples), RUN), triples)
+        pairs = merged_parts(triples, texts, 1 << bits, 1, write_triples, 2)
+        words = merged_parts(pairs, texts, 1 << bits, PAIR, write_pairs)
+    runs = spark.read.schema(f"{RUN}, part int").parquet(words).drop("part")
+    found = merged(runs, 1 << bits, WORD, write_words_around, "level long, seen array<long>")
     totals = {r.level: r[1:] for r in found.groupBy("level").agg(*[F.sum(F.col("seen")[k]) for k in range(5)]).collect()}
     model.triples, model.pairs = totals.get(3, [0] * 5)[4], totals[2][4]
     model.discounts, model.pair_discounts, model.word_discounts = (kneser_ney_discounts(*totals.get(k, [0] * 5)[:4]) for k in (3, 2, 1))

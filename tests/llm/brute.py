@@ -77,6 +77,7 @@ class KneserNey:
                 self.total[gram[:-1]] += c
                 self.kinds[gram[:-1]][min(c, 3)] += 1
         self.d = {n: self.discounts(Counter(x.values())) for n, x in ((3, self.triples), (2, self.pairs), (1, self.follows))}
+        self.left = sum(self.d[1][min(c, 3)] for c in self.follows.values())
 
     @staticmethod
     def discounts(n):
@@ -87,11 +88,8 @@ class KneserNey:
         return [min(max(x, 0), max(k - 0.05, 0)) for k, x in enumerate(d)]
 
     def word(self, w):
-        total = len(self.pairs)
-        kinds = Counter(min(c, 3) for c in self.follows.values())
-        left = sum(self.d[1][k] * n for k, n in kinds.items()) / total
-        c = self.follows[w]
-        return max(c - self.d[1][min(c, 3)], 0) / total + left / (len(self.words) + 1)
+        total, c = len(self.pairs), self.follows[w]
+        return max(c - self.d[1][min(c, 3)], 0) / total + self.left / total / (len(self.words) + 1)
 
     def after(self, context, w):
         """Probability of a word after the words of a context, two at most."""
