@@ -26,6 +26,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -68,6 +69,21 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def coded(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different words, and for every token the place of its word's."""
+    back, different = pd.factorize(hashes([w for t in texts for w in t]))
+    return different, back
+
+
+def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places where it stands."""
+    order = np.argsort(bucket.astype(np.min_scalar_type(int(bucket.max(initial=0)))), kind="stable")  # up to 16 bits sort fastest
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for part in np.split(order, cuts[1:]):
+        if len(part):
+            yield int(bucket[part[0]]), part
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts; keys have one column or two, the second below 2**32."""
     if not len(keys):
@@ -199,7 +215,7 @@ def map_array(uri: str, dtype, columns: int = 0) -> np.ndarray:
         atexit.register(shutil.rmtree, own, True)
         pafs.copy_files(path, f"{own}/x", source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
         path = f"{own}/x"
-    data = np.memmap(path, dtype, "r")
+    data = np.asarray(np.memmap(path, dtype, "r"))
     return data.reshape(-1, columns) if columns else data
 
 
@@ -249,11 +265,8 @@ def shuffles_released(spark: SparkSession) -> Iterator[None]:
 
 def cut_runs(buckets: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """A packed run for every bucket; keys are in order."""
-    order = np.argsort(buckets, kind="stable")
-    cuts = np.flatnonzero(np.diff(buckets[order], prepend=-1))
-    for part in np.split(order, cuts[1:]):
-        if len(part):
-            yield int(buckets[part[0]]), pack(keys[part], counts[part])
+    for bucket, part in by_bucket(buckets):
+        yield bucket, pack(keys[part], counts[part])
 
 
 def kinds(counts: np.ndarray) -> np.ndarray:
@@ -313,14 +326,6 @@ class Reader:
             found[large] = table[np.searchsorted(table[:, 0], at[large].astype(np.uint64)), 1]
         return found
 
-    @staticmethod
-    def _each(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        for part in np.split(order, cuts[1:]):
-            if len(part):
-                yield int(bucket[part[0]]), part
-
     @staticmethod
     def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(table):
@@ -331,7 +336,7 @@ class Reader:
     def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: never seen) and training counts of distinct sorted hashes."""
         ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        for b, part in self._each(word_bucket(h, self.model.bits)):
+        for b, part in by_bucket(word_bucket(h, self.model.bits)):
             table = self._file(f"words-{b}", np.uint64)
             at, found = self._find(table, h[part])
             if found.any():
@@ -342,7 +347,7 @@ class Reader:
     def pairs(self, keys: np.ndarray) -> np.ndarray:
         """The PAIR numbers of distinct sorted pairs."""
         counts = np.zeros((len(keys), PAIR), np.int64)
-        for b, part in self._each(pair_bucket(keys, self.model.bits)):
+        for b, part in by_bucket(pair_bucket(keys, self.model.bits)):
             at, found = self._find(self._file(f"pairs-{b}", np.uint64), keys[part])
             if found.any():
                 counts[part[found]] = self._counts(f"pair-counts-{b}", at[found, None] * PAIR + np.arange(PAIR))
@@ -352,7 +357,7 @@ class Reader:
         """Training counts of triples."""
         counts = np.zeros(len(contexts), np.int64)
         keys = triple_hash(contexts, words)
-        for b, part in self._each(triple_bucket(contexts, words, self.model.bits)):
+        for b, part in by_bucket(triple_bucket(contexts, words, self.model.bits)):
             part = part[np.argsort(keys[part])]  # neighbours in the array are looked up one after another
             at, found = self._find(self._file(f"triples-{b}", np.uint64), keys[part])
             if found.any():
@@ -362,7 +367,7 @@ class Reader:
     def around(self, ids: np.ndarray) -> np.ndarray:
         """The WORD numbers of words."""
         out, size = np.zeros((len(ids), WORD), np.int64), self.model.range_size
-        for r, part in self._each(ids // size):
+        for r, part in by_bucket(ids // size):
             table = self._file(f"around-{r}", np.uint64, WORD)
             at = ids[part] - r * size
             inside = at < len(table)
@@ -425,9 +430,10 @@ def train(rows: DataFrame, text_col: str = "text", buckets: int | None = None) -
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, reader = Runs(lambda k: triple_bucket(k[:, 0], k[:, 1], bits)), model.reader()
         for _, found in chunks(batches, 0):
-            pairs, ids, first, _ = pair_keys(reader, found)
-            context = _placed(pairs, first, before_text)
-            yield from runs.add(np.column_stack([context, ids.astype(np.uint64)]), np.ones(len(ids), np.uint64))
+            batch = Batch(reader, found)
+            context = batch.before(batch.pairs, before_text)
+            word = batch.ids[batch.back].astype(np.uint64)
+            yield from runs.add(np.column_stack([context, word]), np.ones(len(word), np.uint64))
         yield from runs.flush()
 
     def summary(level: int, bucket: int, counts: np.ndarray) -> tuple[int, bytes]:
@@ -494,67 +500,73 @@ def train(rows: DataFrame, text_col: str = "text", buckets: int | None = None) -
     return model
 
 
-def pair_keys(reader: Reader, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pair key and word id of every token, places of first tokens, word counts; an unknown word's id is -1, its keys mean nothing."""
-    lengths = np.array([len(t) for t in texts])
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    h, back = np.unique(hashes([w for t in texts for w in t]), return_inverse=True)
-    ids, counts = reader.words(h)
-    ids, counts = ids[back], counts[back]
-    context = np.empty_like(ids)
-    context[1:] = ids[:-1]
-    context[first] = reader.model.start
-    return (context.astype(np.uint64) << np.uint64(32)) | (ids & 0xFFFFFFFF).astype(np.uint64), ids, first, counts
+class Batch:
+    """Tokens of some texts: places of first tokens, and for every token the place of its word among the different ones.
+
+    ids and counts are those of the different words, -1 and 0 for unknown ones; ids has the start mark's at its end.
+    """
+
+    def __init__(self, reader: Reader, texts: list[list[bytes]]):
+        lengths = np.array([len(t) for t in texts])
+        self.first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        h, self.back = coded(texts)
+        order = np.argsort(h)
+        self.ids, self.counts = np.empty(len(h) + 1, np.int64), np.empty(len(h), np.int64)
+        self.ids[order], self.counts[order] = reader.words(h[order])
+        self.ids[-1] = reader.model.start
+        self.prior = self.before(self.back, len(h))
+
+    def before(self, x: np.ndarray, at_start: int) -> np.ndarray:
+        """For every token the value of the token before it in its text."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.first] = at_start
+        return out
+
+    @property
+    def pairs(self) -> np.ndarray:
+        """Key of every token with the one before; of unknown words it means nothing."""
+        ids = self.ids.astype(np.uint64)
+        return (ids << np.uint64(32))[self.prior] | (ids & LOW)[self.back]
 
 
 def score_tokens(reader: Reader, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability and training count of every token."""
-    model = reader.model
-    keys, ids, first, counts = pair_keys(reader, texts)
+    model, batch = reader.model, Batch(reader, texts)
+    ids, back, prior, counts = batch.ids, batch.back, batch.prior, batch.counts[batch.back]
     uniform = 1.0 / (model.vocabulary + 1)
     if not model.train_tokens:
-        return np.full(len(ids), np.log10(uniform)), counts
-    context = _placed(ids, first, model.start)
-    known, has_context = ids >= 0, context >= 0
-    some, at = np.unique(np.concatenate([ids[known], context[has_context]]), return_inverse=True)
-    around = reader.around(some)[at]
-    # words
-    follows, after = np.zeros(len(ids), np.int64), np.zeros((len(ids), 4), np.int64)
-    follows[known], after[has_context] = around[: known.sum(), 4], around[known.sum() :, :4]
-    p = _discounted(follows, model.word_discounts) / model.pairs + model.word_weight * uniform
-    # pairs
-    both = np.flatnonzero(known & has_context)
-    distinct, back = np.unique(keys[both], return_inverse=True)
-    pairs = np.zeros((len(ids), PAIR), np.int64)
-    pairs[both] = reader.pairs(distinct)[back]
-    p = _interpolated(p, pairs[:, 0], after[:, 3], after[:, :3], model.pair_discounts)
+        return np.full(len(back), np.log10(uniform)), counts
+    known = ids >= 0
+    # words: what is known of the different ones
+    around = np.zeros((len(ids), WORD), np.int64)
+    around[known] = reader.around(ids[known])
+    p = (_discounted(around[:, 4], model.word_discounts) / model.pairs + model.word_weight * uniform)[back]
+    # pairs, the last of the different ones is for those with an unknown word
+    both = np.flatnonzero(known[back] & known[prior])
+    keys = batch.pairs
+    distinct, at = np.unique(keys[both], return_inverse=True)
+    pair = np.full(len(back), len(distinct))
+    pair[both] = at
+    found = np.concatenate([reader.pairs(distinct), np.zeros((1, PAIR), np.int64)])
+    together = found[:, 0][pair]
+    p = _interpolated(p, together, around[:, 3][prior], (around[:, :3] @ model.pair_discounts[1:])[prior], model.pair_discounts)
     # triples: what is known of the pair before is known of the context
-    contexts, earlier = _placed(keys, first, 0), _placed(pairs, first, 0)
-    met = np.flatnonzero((earlier[:, 1] > 0) & (pairs[:, 0] > 0))
-    together = np.zeros(len(ids), np.int64)
-    together[met] = reader.triples(contexts[met], ids[met].astype(np.uint64))
-    return np.log10(_interpolated(p, together, earlier[:, 1], earlier[:, 2:], model.discounts)), counts
-
-
-def _placed(x: np.ndarray, first: np.ndarray, at_start: int) -> np.ndarray:
-    """For every token the value of the token before it in its text."""
-    out = np.empty_like(x)
-    out[1:] = x[:-1]
-    out[first] = at_start
-    return out
+    context = batch.before(pair, len(distinct))
+    total = found[:, 1][context]
+    met = np.flatnonzero((total > 0) & (together > 0))
+    together = np.zeros(len(back), np.int64)
+    together[met] = reader.triples(keys[met - 1], ids[back[met]].astype(np.uint64))
+    return np.log10(_interpolated(p, together, total, (found[:, 2:] @ model.discounts[1:])[context], model.discounts)), counts
 
 
 def _discounted(counts: np.ndarray, discounts: np.ndarray) -> np.ndarray:
     return np.maximum(counts - discounts[np.minimum(counts, 3)], 0)
 
 
-def _interpolated(p: np.ndarray, counts: np.ndarray, total: np.ndarray, kinds: np.ndarray, discounts: np.ndarray) -> np.ndarray:
+def _interpolated(p: np.ndarray, counts: np.ndarray, total: np.ndarray, weight: np.ndarray, discounts: np.ndarray) -> np.ndarray:
     """Probabilities with one more word of context, where the context was met; p are those with one less."""
-    met = total > 0
-    more = (_discounted(counts[met], discounts) + (kinds[met] @ discounts[1:]) * p[met]) / total[met]
-    out = p.copy()
-    out[met] = more
-    return out
+    return np.where(total > 0, (_discounted(counts, discounts) + weight * p) / np.maximum(total, 1), p)
 
 
 def score(docs: DataFrame, model: TrigramModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
