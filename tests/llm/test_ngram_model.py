@@ -54,6 +54,24 @@ def test_frequent_words_and_many_buckets(spark):
             assert r.score == pytest.approx(plain.score(texts[r.doc_id]), rel=1e-9)
 
 
+@pytest.mark.parametrize("texts", [[None], ["", None, ""], ["one"], ["one", "one", "two"]])
+def test_texts_without_longer_context(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain, model = brute.KneserNey(texts), lm.train(rows)
+    assert (model.triples, model.pairs) == (len(plain.triples), len(plain.pairs))
+    more = spark.createDataFrame([(0, "one two"), (1, None), (2, "three"), (3, "one one one")], "doc_id long, text string")
+    for r in lm.score(more, model).collect():
+        text = ["one two", None, "three", "one one one"][r.doc_id]
+        assert r.score == pytest.approx(plain.score(text), rel=1e-9, abs=1e-12)
+
+
+def test_training_leaves_settings_alone(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    lm.train(spark.createDataFrame([(0, "a b c")], "doc_id long, text string"))
+    assert spark.conf.get(name) == before
+
+
 def test_runs_survive_packing():
     rng = np.random.default_rng(1)
     keys = np.sort(rng.integers(0, 2**63, 1000, dtype=np.uint64))
