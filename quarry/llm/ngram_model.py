@@ -18,7 +18,9 @@ counts of such pairs are plain ones, and a text's first token is scored by pairs
 from __future__ import annotations
 
 import atexit
+import mmap
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,6 +56,9 @@ WORD = 5
 SUMMARIES = 16
 #: Parts in which runs are merged one after another, so that few lie on disk twice.
 PARTS = 4
+#: Files that a worker maps at once: the system allows a process 65,530 maps, and less than half as many open files.
+MOST_MAPS = 50_000
+UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
 RUN = "bucket int, run binary"
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -185,38 +190,58 @@ def chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
             yield batch.slice(began, at - began), texts
 
 
-def write_array(uri: str, data: np.ndarray) -> None:
+def write_file(uri: str, *parts: np.ndarray) -> None:
     """Atomic, so that a task may be run again or twice at once."""
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as f:
-        f.write(np.ascontiguousarray(data).tobytes())
+        for data in parts:
+            f.write(np.ascontiguousarray(data).tobytes())
     fs.move(part, path)
 
 
-def write_counts(uri: str, counts: np.ndarray) -> None:
-    """One byte each; the few counts of 255 and more lie apart, with their places."""
+def write_table(uri: str, keys: np.ndarray, counts: np.ndarray) -> None:
+    """One file of keys and counts: its three sizes, the keys, places and counts of 255 and more, and a byte for every count."""
     counts = counts.reshape(-1)
-    write_array(uri, np.minimum(counts, 255).astype(np.uint8))
     large = np.flatnonzero(counts >= 255)
-    if len(large):
-        write_array(f"{uri}-large", np.column_stack([large.astype(np.uint64), counts[large].astype(np.uint64)]))
+    apart = np.column_stack([large.astype(np.uint64), counts[large].astype(np.uint64)])
+    sizes = np.array([len(keys), len(large), len(counts)], np.uint64)
+    write_file(uri, sizes, keys, apart, np.minimum(counts, 255).astype(np.uint8))
 
 
-def map_array(uri: str, dtype, columns: int = 0) -> np.ndarray:
-    """The array written to a file, empty if there is none."""
+def local_path(uri: str) -> str | None:
+    """Where the file can be mapped, after a copy if need be; none if it is missing or empty."""
     fs, path = pafs.FileSystem.from_uri(uri)
     info = fs.get_file_info(path)
     if info.type == pafs.FileType.NotFound or info.size == 0:
-        return np.zeros((0, columns) if columns else 0, dtype)
+        return None
     if not isinstance(fs, pafs.LocalFileSystem):
         own = tempfile.mkdtemp(prefix="quarry-model-")
         atexit.register(shutil.rmtree, own, True)
         pafs.copy_files(path, f"{own}/x", source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
         path = f"{own}/x"
-    data = np.asarray(np.memmap(path, dtype, "r"))
-    return data.reshape(-1, columns) if columns else data
+    return path
+
+
+def mapped(path: str | None) -> mmap.mmap | bytes:
+    """The bytes of a file; its map stays when the file is closed, and takes no handle from Python 3.13 on."""
+    if path is None:
+        return b""
+    with open(path, "rb") as f:
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **UNTRACKED)
+
+
+def read_table(data: mmap.mmap | bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros((0, 2), np.uint64)
+    keys, large, counts = np.frombuffer(data, np.uint64, 3).tolist()
+    apart = np.frombuffer(data, np.uint64, 2 * large, 24 + 8 * keys).reshape(-1, 2)
+    return np.frombuffer(data, np.uint64, keys, 24), np.frombuffer(data, np.uint8, counts, 24 + 8 * keys + 16 * large), apart
+
+
+def read_around(data: mmap.mmap | bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64).reshape(-1, WORD)
 
 
 def merged(runs: DataFrame, buckets: int, columns: int, write: Callable, result: str, key_columns: int = 1) -> DataFrame:
@@ -311,19 +336,32 @@ class Reader:
     """Looks words, pairs and triples up in the mapped arrays of one model."""
 
     def __init__(self, model: TrigramModel):
-        self.model, self.files = model, {}
+        self.model, self.files, self.paths = model, {}, {}
+
+    def _file(self, name: str) -> mmap.mmap | bytes:
+        if name not in self.paths:
+            self.paths[name] = local_path(f"{self.model.place}/{name}")
+        return mapped(self.paths[name])
 
-    def _file(self, name: str, dtype, columns: int = 0) -> np.ndarray:
+    def _kept(self, name: str, read: Callable) -> np.ndarray | tuple[np.ndarray, ...]:
+        """What is read from a file, mapped until there are too many maps."""
         if name not in self.files:
-            self.files[name] = map_array(f"{self.model.place}/{name}", dtype, columns)
+            if len(self.files) >= MOST_MAPS:
+                self.files.clear()
+            self.files[name] = read(self._file(name))
         return self.files[name]
 
-    def _counts(self, name: str, at: np.ndarray) -> np.ndarray:
-        found = self._file(name, np.uint8)[at].astype(np.int64)
+    def _table(self, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, counts of one byte, and places and counts of the large ones."""
+        return self._kept(name, read_table)
+
+    @staticmethod
+    def _counts(table: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray) -> np.ndarray:
+        _, counts, apart = table
+        found = counts[at].astype(np.int64)
         large = found == 255
         if large.any():
-            table = self._file(f"{name}-large", np.uint64, 2)
-            found[large] = table[np.searchsorted(table[:, 0], at[large].astype(np.uint64)), 1]
+            found[large] = apart[np.searchsorted(apart[:, 0], at[large].astype(np.uint64)), 1]
         return found
 
     @staticmethod
@@ -337,20 +375,21 @@ class Reader:
         """Ids (-1: never seen) and training counts of distinct sorted hashes."""
         ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
         for b, part in by_bucket(word_bucket(h, self.model.bits)):
-            table = self._file(f"words-{b}", np.uint64)
-            at, found = self._find(table, h[part])
+            table = self._table(f"words-{b}")
+            at, found = self._find(table[0], h[part])
             if found.any():
                 ids[part[found]] = self.model.starts[b] + at[found]
-                counts[part[found]] = self._counts(f"word-counts-{b}", at[found])
+                counts[part[found]] = self._counts(table, at[found])
         return ids, counts
 
     def pairs(self, keys: np.ndarray) -> np.ndarray:
         """The PAIR numbers of distinct sorted pairs."""
         counts = np.zeros((len(keys), PAIR), np.int64)
         for b, part in by_bucket(pair_bucket(keys, self.model.bits)):
-            at, found = self._find(self._file(f"pairs-{b}", np.uint64), keys[part])
+            table = self._table(f"pairs-{b}")
+            at, found = self._find(table[0], keys[part])
             if found.any():
-                counts[part[found]] = self._counts(f"pair-counts-{b}", at[found, None] * PAIR + np.arange(PAIR))
+                counts[part[found]] = self._counts(table, at[found, None] * PAIR + np.arange(PAIR))
         return counts
 
     def triples(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -359,16 +398,17 @@ class Reader:
         keys = triple_hash(contexts, words)
         for b, part in by_bucket(triple_bucket(contexts, words, self.model.bits)):
             part = part[np.argsort(keys[part])]  # neighbours in the array are looked up one after another
-            at, found = self._find(self._file(f"triples-{b}", np.uint64), keys[part])
+            table = self._table(f"triples-{b}")
+            at, found = self._find(table[0], keys[part])
             if found.any():
-                counts[part[found]] = self._counts(f"triple-counts-{b}", at[found])
+                counts[part[found]] = self._counts(table, at[found])
         return counts
 
     def around(self, ids: np.ndarray) -> np.ndarray:
         """The WORD numbers of words."""
         out, size = np.zeros((len(ids), WORD), np.int64), self.model.range_size
         for r, part in by_bucket(ids // size):
-            table = self._file(f"around-{r}", np.uint64, WORD)
+            table = self._kept(f"around-{r}", read_around)
             at = ids[part] - r * size
             inside = at < len(table)
             out[part[inside]] = table[at[inside]]
@@ -407,8 +447,7 @@ def train(rows: DataFrame, text_col: str = "text", buckets: int | None = None) -
         yield from runs.flush()
 
     def write_words(bucket: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[dict]:
-        write_array(f"{place}/words-{bucket}", keys)
-        write_counts(f"{place}/word-counts-{bucket}", counts)
+        write_table(f"{place}/words-{bucket}", keys, counts)
         end = keys == np.uint64(xxhash.xxh3_64_intdigest(END))
         yield {"bucket": [bucket], "n": [len(keys)], "total": [int(counts.sum())], "ends": [int(counts[end].sum())]}
 
@@ -448,8 +487,7 @@ def train(rows: DataFrame, text_col: str = "text", buckets: int | None = None) -
         context, word, counts = context[~first], word[~first], counts[~first]
         found = triple_hash(context, word)
         order = np.argsort(found)
-        write_array(f"{place}/triples-{bucket}", found[order])
-        write_counts(f"{place}/triple-counts-{bucket}", counts[order])
+        write_table(f"{place}/triples-{bucket}", found[order], counts[order])
         del found, order
         contexts, followed = summed(context, np.column_stack([counts, kinds(counts)]))
         sums = np.zeros((len(pairs) + len(contexts), PAIR), np.uint64)
@@ -464,8 +502,7 @@ def train(rows: DataFrame, text_col: str = "text", buckets: int | None = None) -
         if bucket >= 1 << bits:  # sums of summaries
             yield {"bucket": pa.array([bucket], pa.int32()), "run": pa.array([pack(keys, counts)], pa.binary())}
             return
-        write_array(f"{place}/pairs-{bucket}", keys)
-        write_counts(f"{place}/pair-counts-{bucket}", counts)
+        write_table(f"{place}/pairs-{bucket}", keys, counts)
         follows = counts[:, 0]
         sums = np.zeros((2 * len(keys), WORD), np.uint64)
         sums[: len(keys), :3], sums[: len(keys), 3], sums[len(keys) :, 4] = kinds(follows), follows, 1
@@ -480,7 +517,7 @@ def train(rows: DataFrame, text_col: str = "text", buckets: int | None = None) -
             return
         table = np.zeros((size, WORD), np.uint64)
         table[(ids - np.uint64(bucket * size)).astype(np.int64)] = sums
-        write_array(f"{place}/around-{bucket}", table)
+        write_file(f"{place}/around-{bucket}", table)
         follows = sums[:, 4][sums[:, 4] > 0]  # no word but the start mark follows none
         numbers = [np.count_nonzero(follows == k) for k in (1, 2, 3, 4)] + [len(follows)]
         yield {"level": pa.array([1], pa.int64()), "seen": pa.array([numbers], pa.list_(pa.int64()))}

@@ -1,4 +1,6 @@
 import math
+import os
+import resource
 
 import numpy as np
 import pytest
@@ -54,6 +56,23 @@ def test_frequent_words_and_many_buckets(spark):
             assert r.score == pytest.approx(plain.score(texts[r.doc_id]), rel=1e-9)
 
 
+@pytest.mark.parametrize("most", [50_000, 100])
+def test_more_files_than_may_be_open_or_mapped(spark, monkeypatch, most):
+    """A large corpus has thousands of buckets, and a worker looks into all of them."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 900, 40)) for _ in range(60)]
+    plain = brute.KneserNey(texts)
+    reader = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), buckets=128).reader()
+    monkeypatch.setattr(lm, "MOST_MAPS", most, raising=False)
+    limits = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (max(map(int, os.listdir("/proc/self/fd"))) + 40, limits[1]))
+    try:
+        logs, _ = lm.score_tokens(reader, [lm.words_of(t) for t in texts])
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, limits)
+    assert logs.sum() == pytest.approx(sum(map(plain.score, texts)), rel=1e-9)
+
+
 @pytest.mark.parametrize("texts", [[None], ["", None, ""], ["one"], ["one", "one", "two"]])
 def test_texts_without_longer_context(spark, texts):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
