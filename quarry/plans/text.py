@@ -168,7 +168,7 @@ len(regexp_extract_all(' ' || replace(lower(text), ' ', '  ') || ' ', '[^\p{L}\p
 def alias_counts(spark, sf):
     low = F.lower("text")
     return docs(spark, sf).select(
-        "doc_id", X.alias_count(low, "the").cast("long").alias("the_count"), X.alias_count(low, "der").cast("long").alias("der_count")
+        "doc_id", X.alias_hits(low, "the").cast("long").alias("the_count"), X.alias_hits(low, "der").cast("long").alias("der_count")
     )
 
 
