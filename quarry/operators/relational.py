@@ -139,8 +139,8 @@ def fair_share(rows: DataFrame, root: str, order: list[str], budget: int) -> Dat
     return kept.filter(F.col("place") <= F.col("quota"))
 
 
-def closure(edges: DataFrame, seeds: DataFrame, parent: str, child: str) -> DataFrame:
-    """node, depth: everything reachable from the seeds, at its least depth, over a graph that may have cycles.
+def closure(edges: DataFrame, seeds: DataFrame, parent: str, child: str, most: int | None = None) -> DataFrame:
+    """node, depth: everything reachable from the seeds, at its least depth (up to most, if given), over a graph that may have cycles.
 
     Breadth first, one join a level, on the frontier only, until a level finds nothing new.  The levels met so far are kept as one
     checkpointed table, so that the plan does not grow with the depth.
@@ -150,10 +150,11 @@ def closure(edges: DataFrame, seeds: DataFrame, parent: str, child: str) -> Data
     e = edges.select(F.col(parent).alias("node"), F.col(child).alias("next")).filter("node is not null and next is not null").distinct()
     found = checkpointed(seeds.select(F.col(seeds.columns[0]).alias("node"), F.lit(0).alias("depth")).distinct())
     frontier, depth = found, 0
-    while True:
+    while most is None or depth < most:
         depth += 1
         reached = frontier.join(e, "node").select(F.col("next").alias("node")).distinct()
         frontier = checkpointed(reached.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return found
         found = checkpointed(found.unionByName(frontier))
+    return found
