@@ -6,12 +6,15 @@ the small rule set at the end is our own, for text corpora.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.functions.text import alias_count
+
 #: What a match in each scope adds to a rule's base score.
 SCOPE_BONUS = {"path": 0.18, "title": 0.27, "author": 0.08, "metadata": 0.12, "opening": 0.24, "text": 0.0}
 SIGNAL_BONUS, MOST_SIGNALS, CAP = 0.04, 5, 0.92
@@ -48,13 +51,11 @@ def pattern_evidence(docs: DataFrame, key: str, scopes: dict[str, Column], rules
     return rows.select(key, "x.label", "x.score", "x.signals")
 
 
-def alias_evidence(docs: DataFrame, key: str, scopes: dict[str, Column], aliases: dict[str, list[str]]) -> DataFrame:
-    """key, label, score, hits: scope weight of the best hit, a little for each further one."""
-    from quarry.functions.text import alias_count
-
+def alias_evidence(docs: DataFrame, key: str, scopes: dict[str, Column], aliases: dict[str, list[str]], counted: Callable[[Column, str], Column] = alias_count) -> DataFrame:
+    """key, label, score, hits: scope weight of the best hit, a little for each further one; counted(text, alias) gives the hits."""
     labels = []
     for label, own in aliases.items():
-        count = {s: reduce(lambda a, b: a + b, [alias_count(t, a) for a in own]) for s, t in scopes.items()}
+        count = {s: reduce(lambda a, b: a + b, [counted(t, a) for a in own]) for s, t in scopes.items()}
         hits = reduce(lambda a, b: a + b, count.values())
         best = F.greatest(*[F.when(c > 0, ORGANISATION_WEIGHTS[s]).otherwise(0.0) for s, c in count.items()], F.lit(0.0))
         score = F.least(F.lit(0.94), best + 0.05 * F.least(hits - 1, F.lit(4)))

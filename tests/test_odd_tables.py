@@ -36,3 +36,7 @@ def test_lineage_impact_ends_where_its_sql_does(spark, tmp_path):
         node = last // 7
     got = same_rows(spark, tmp_path, "lineage_impact", ids, ["x"] * 28)
     assert max(depth for _, depth in got) == 24
+
+
+def test_organisation_evidence_of_shared_marks(spark, tmp_path):
+    same_rows(spark, tmp_path, "organisation_evidence", range(6), SHARED_MARKS)
