@@ -8,14 +8,14 @@ The number of classes grows with the line, so that a block stands for a few word
 is a pair of classes.
 
 Lines that agree on a block are compared: first with the smallest of them alone, which connects what is
-dense with one pair a line, then those that are not connected yet.  Where more than FEW lines agree on a
-block, the block says little, and lines are compared that agree on a further one too.  Pairs are verified by
-edit similarity, connected lines form a group, and of all occurrences of a group's lines the first one (by
+dense with one pair a line, then all that are not connected yet, however many agree on the block.  Lengths
+and counts of letters first rule out pairs that too many edits lie between.  Pairs are verified by edit similarity, connected lines form a group, and of all occurrences of a group's lines the first one (by
 document and position) stays.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +25,7 @@ from quarry.llm.components import components
 from quarry.llm.scratch import sized, stored
 
 SIMILARITY = 0.9
-#: Lines that agree on a block and are all compared; where there are more, a further block must agree.
+#: Lines up to which those that agree on a block meet in one place; where there are more, they meet by their lengths.
 FEW = 64
 #: Characters up to which lines are compared whole.
 LONG = 2000
@@ -33,8 +33,8 @@ LONG = 2000
 BANDS = (64, 8)
 #: Rows of three numbers that are broadcast to fetch lines.
 WANTED = 800_000
-#: Blocks that may be asked to agree; at the last number all lines are compared, however many.
-MOST_BLOCKS = 3
+#: Letters that are counted together: an edit changes two counts by one at most.
+LETTERS = ("eq", "tj", "ax", "oz", "iv", "nk", "sw", "rb")
 
 #: Words from which words are the features, and from which a block is one class.
 WORDS_FROM, SINGLE_FROM = 6, 16
@@ -87,7 +87,7 @@ def simhash(hashes: Column) -> Column:
 
 
 def signed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, pos, key, h, len, main, single, blocks of every line that has words, a second time if it is near the next kind.
+    """doc_id, pos, key, h, len, letters, main, single, blocks of every line that has words, a second time if it is near the next kind.
 
     key is that of the normalised line, h a shorter hash for joins, len its length, and blocks holds a hash of each block's place and bits.
     """
@@ -139,72 +139,49 @@ def signed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         line_key(F.col("norm")).alias("key"),
         F.xxhash64("norm").alias("h"),
         F.length("norm").alias("len"),
+        F.array(*[F.length("norm") - F.length(F.translate("norm", x, "")) for x in LETTERS]).alias("letters"),
         (F.col("kind") == F.col("own")).alias("main"),
         (F.col("kind") > 1).alias("single"),
         F.when(F.col("kind") > 1, F.col("places")).otherwise(F.array_distinct(F.array_compact(pairs))).alias("blocks"),
     )
 
 
-def agreeing(signed: DataFrame, few: int) -> list[tuple[DataFrame, DataFrame]]:
-    """For one block, two and so on: (members, sizes), where members are the lines h that agree on a key k.
-
-    single tells that a key is one block of one class, which is little evidence.  Only blocks of many lines
-    are put together: lines that agree on any other meet there.
-    Keys of one line only are left out; the keys of a further step extend those of more than ``few`` lines.
-    """
-    found = []
-    lines = signed.select("h", "single", "blocks")
-    keyed = lines.select("h", "single", F.explode("blocks").alias("k"))
-    base = None
-    for step in range(1, MOST_BLOCKS + 1):
-        if step > 1:
-            large = found[-1][1].filter(F.col("n") > few).select("k")
-            n_large = large.count()
-            if not n_large:
-                break
-            if step == 2:  # lines that agree on another block, of few lines, are compared there
-                own = keyed.select("h", "k").join(sized(large, n_large), "k").groupBy("h").agg(F.sort_array(F.collect_set("k")).alias("blocks"))
-                own = stored(own.filter(F.size("blocks") > 1), f"large{step}")
-                base = own.select("h", "blocks", F.explode(F.transform("blocks", lambda k: F.array(k))).alias("own"))
-            else:
-                base = stored(base.join(sized(large, n_large), "k").select("h", "blocks", "own"), f"large{step}")
-            base = base.select("h", "blocks", "own", F.explode(F.filter("blocks", lambda k: k > F.element_at("own", -1))).alias("more"))
-            base = base.select("h", "blocks", F.array_append("own", F.col("more")).alias("own")).withColumn("k", F.xxhash64("own"))
-            keyed = base.select("h", F.lit(False).alias("single"), "k")
-        shared = keyed.groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("k")
-        shared = stored(shared, f"shared{step}")
-        members = stored(keyed.join(sized(shared), "k").distinct(), f"members{step}")
-        sizes = members.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("hub"))
-        found.append((members, stored(sizes, f"sizes{step}")))
-    return found
+def agreeing(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members, sizes: lines h that agree on a block k with another line, and k, n, hub of each such block."""
+    keyed = signed.select("h", F.explode("blocks").alias("k"))
+    shared = keyed.groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("k")
+    members = stored(keyed.join(sized(stored(shared, "shared")), "k").distinct(), "members")
+    return members, stored(members.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("hub")), "sizes")
 
 
 def near_lines(signed: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, few: int = FEW) -> DataFrame:
-    """Edges (a, b) between keys of verified lines that connect all that were found near."""
-    steps = agreeing(signed, few)
+    """Edges (a, b) between keys of verified lines that connect all similar lines that agree on a block."""
+    members, sizes = agreeing(signed)
     # a hub is one row a key
-    stars = [
-        members.join(sized(sizes), "k").filter("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b"))
-        for members, sizes in steps
-    ]
-    first = _verified(reduce(DataFrame.unionByName, stars), distinct, docs, id_col, text_col, similarity)
+    stars = members.join(sized(sizes), "k").filter("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b"))
+    first = _verified(stars, distinct, docs, id_col, text_col, similarity)
     dense = components(first).withColumnRenamed("v", "h")
-    others = []
-    for i, (members, sizes) in enumerate(steps):
-        last = i + 1 == MOST_BLOCKS
-        some = sizes.filter(F.col("n") > 2 if last else F.col("n").between(3, few)).select("k")
-        own = members.join(sized(some), "k").join(sized(dense), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
-        # keys whose lines are all connected need no further look
-        open_keys = own.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("k")
-        own = stored(own.join(sized(stored(open_keys, "open")), "k"), "open-members")
-        left, right = own.alias("l"), own.alias("r")
-        apart = (F.col("l.h") < F.col("r.h")) & (F.col("l.comp") != F.col("r.comp"))
-        pairs = left.join(right, (F.col("l.k") == F.col("r.k")) & apart)
-        weight = F.when(F.col("l.single"), 1).otherwise(2)
-        others.append(pairs.select(F.col("l.h").alias("a"), F.col("r.h").alias("b"), weight.alias("weight")))
-    # lines that are not a hub's must agree on two blocks of one class
-    together = reduce(DataFrame.unionByName, others).groupBy("a", "b").agg(F.sum("weight").alias("weight")).filter("weight > 1")
-    rest = _verified(together.select("a", "b"), distinct, docs, id_col, text_col, similarity)
+    some = sizes.filter("n > 2").select("k", "n")
+    own = members.join(sized(some), "k").join(sized(dense), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
+    # keys whose lines are all connected need no further look
+    open_keys = own.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("k")
+    own = own.join(sized(stored(open_keys, "open")), "k")
+    counts = [f"c{i}" for i in range(len(LETTERS))]
+    # different lines that share a short hash are rare: each of their shapes stands
+    shapes = signed.select("h", "len", *[F.col("letters")[i].alias(c) for i, c in enumerate(counts)]).distinct()
+    # lengths of similar lines lie in one band or in neighbouring ones
+    width = -math.log(max(similarity - 0.01, 1e-6))
+    band = F.when(F.col("n") > few, F.floor(F.log("len") / width)).otherwise(0)
+    own = stored(own.join(shapes, "h").withColumn("band", band.cast("int")), "open-members")
+    bands = F.when(F.col("n") > few, F.array("band", F.col("band") - 1)).otherwise(F.array("band"))
+    left, right = own.alias("l"), own.withColumn("band", F.explode(bands)).alias("r")
+    shorter = (F.col("l.len") < F.col("r.len")) | ((F.col("l.len") == F.col("r.len")) & (F.col("l.h") < F.col("r.h")))
+    most = F.floor(F.col("r.len") * (1 - similarity) + 1e-9)
+    apart = reduce(lambda a, b: a + b, [F.abs(F.col(f"l.{c}") - F.col(f"r.{c}")) for c in counts])
+    fits = shorter & (F.col("l.comp") != F.col("r.comp")) & (F.col("r.len") - F.col("l.len") <= most) & (apart <= 2 * most)
+    pairs = left.join(right, (F.col("l.k") == F.col("r.k")) & (F.col("l.band") == F.col("r.band")) & fits)
+    pairs = pairs.select(F.least("l.h", "r.h").alias("a"), F.greatest("l.h", "r.h").alias("b"))
+    rest = _verified(pairs, distinct, docs, id_col, text_col, similarity)
     return first.unionByName(rest).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
 

@@ -4,7 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from quarry.llm.line_dedup import COUNTED, COUNTERS, LANES, SIMILARITY, WIDTH, dedup_lines, kind_of, similar, simhash
+from quarry.llm import line_dedup
+from quarry.llm.line_dedup import COUNTED, COUNTERS, LANES, SIMILARITY, WIDTH, dedup_lines, kind_of, line_key, near_lines, similar, simhash
 from tests.llm import brute
 
 
@@ -142,6 +143,28 @@ def test_one_hot_block(spark):
     assert {i for i, n in got.items() if n} == {1000 + i for i in range(0, 300, 10)}
 
 
+def test_links_by_one_block(spark):
+    """Lines that agree on one block alone, of few lines or of many, and not with its hub: each that is similar is linked."""
+    block = {h: 1 if h < 6 else 2 for h in [*range(1, 6), *range(10, 110)]}
+    text = lambda h: "".join(random.Random(h).choices("abcdefghijklmnopqrst", k=100))
+    lines = {h: text(h) for h in block}
+    for a, b in ((4, 5), (108, 109)):
+        lines[b] = lines[a][:-1] + "\u00e9"
+    docs = spark.createDataFrame(sorted(lines.items()), "doc_id long, text string")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), line_key(F.col("text")).alias("key")).collect()
+    hashed = {r.doc_id: r for r in hashed}
+    letters = lambda t: [sum(t.count(c) for c in x) for x in getattr(line_dedup, "LETTERS", [])]
+    signed = spark.createDataFrame(
+        [(i, 0, bytes(r.key), r.h, 100, letters(lines[i]), True, True, [block[i]]) for i, r in hashed.items()],
+        "doc_id long, pos int, key binary, h long, len int, letters array<int>, main boolean, single boolean, blocks array<long>",
+    )
+    distinct = signed.select("key", "h", "len", F.lit(1).alias("n"), "doc_id", "pos")
+    place = {bytes(r.key): i for i, r in hashed.items()}
+    found = near_lines(signed, distinct, docs, "doc_id", "text", SIMILARITY).collect()
+    got = {tuple(sorted((place[bytes(r.a)], place[bytes(r.b)]))) for r in found}
+    assert got == {(a, b) for a in lines for b in lines if a < b and near(lines[a], lines[b])} >= {(4, 5), (108, 109)}
+
+
 def test_hard_rows(hard, empty):
     rows = {r.doc_id: r for r in dedup_lines(hard).collect()}
     assert len(dedup_lines(hard).collect()) == hard.count()
