@@ -9,20 +9,22 @@ is a pair of classes.
 
 Lines that agree on a block are compared: first with the smallest of them alone, which connects what is
 dense with one pair a line, then all that are not connected yet, however many agree on the block.  Lengths
-and counts of letters first rule out pairs that too many edits lie between.  Pairs are verified by edit similarity, connected lines form a group, and of all occurrences of a group's lines the first one (by
-document and position) stays.
+and counts of every letter first rule out pairs that too many edits lie between, before a text is fetched.
+Pairs are verified by edit similarity, connected lines form a group, and of all occurrences of a group's
+lines the first one (by document and position) stays.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
-from quarry.llm.scratch import sized, stored
+from quarry.llm.scratch import delete, noted, shuffles_released, sized, stored
 
 SIMILARITY = 0.9
 #: Lines up to which those that agree on a block meet in one place; where there are more, they meet by their lengths.
@@ -33,8 +35,10 @@ LONG = 2000
 BANDS = (64, 8)
 #: Rows of three numbers that are broadcast to fetch lines.
 WANTED = 800_000
-#: Letters that are counted together: an edit changes two counts by one at most.
-LETTERS = ("eq", "tj", "ax", "oz", "iv", "nk", "sw", "rb")
+#: Characters that are counted, frequent ones first; all others are counted together.
+LETTERS = tuple(" etaoinsrhldcumfpgwybvkxjqz0123456789")
+#: Bits of a count's code.
+BITS = 8
 
 #: Words from which words are the features, and from which a block is one class.
 WORDS_FROM, SINGLE_FROM = 6, 16
@@ -86,6 +90,25 @@ def simhash(hashes: Column) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), [lane(k) for k in range(LANES)])
 
 
+def with_letters(lines: DataFrame) -> DataFrame:
+    """lines with letters, the count of each of LETTERS in norm."""
+    rest = ["norm"]
+    for i, x in enumerate(LETTERS):  # each is counted in what the ones before leave
+        lines = lines.withColumn(f"without {i}", F.replace(F.col(rest[-1]), F.lit(x), F.lit("")))
+        rest.append(f"without {i}")
+    counts = [F.octet_length(a) - F.octet_length(b) for a, b in zip(rest, rest[1:], strict=False)]
+    return lines.withColumn("letters", F.array(*counts)).drop(*rest[1:])
+
+
+def coded(counts: list[Column]) -> list[Column]:
+    """Numbers that hold the codes of 64 / BITS counts each: codes differ in no more bits than counts differ by, and in as many up to BITS."""
+    ones = F.lit((1 << BITS) - 1)
+    code = lambda c: F.shiftrightunsigned(F.call_function("shiftleft", ones, c.bitwiseAND(F.lit(2 * BITS - 1))), BITS)
+    codes = [code(c.cast("int")).bitwiseAND(ones).cast("long") for c in counts]
+    parts = [codes[i : i + 64 // BITS] for i in range(0, len(codes), 64 // BITS)]
+    return [reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c, BITS * i) for i, c in enumerate(part)]) for part in parts]
+
+
 def signed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, pos, key, h, len, letters, main, single, blocks of every line that has words, a second time if it is near the next kind.
 
@@ -97,7 +120,7 @@ def signed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .filter(F.col("line").rlike(r"[\p{L}\p{N}]"))
         .select("doc_id", "pos", normalised(F.col("line")).alias("norm"))
     )
-    words = lines.withColumn("words", F.array_distinct(F.split("norm", " "))).withColumn("n", F.size("words"))
+    words = with_letters(lines).withColumn("words", F.array_distinct(F.split("norm", " "))).withColumn("n", F.size("words"))
     words = words.withColumn("own", kind_of(F.col("n"))).withColumn("next", kind_of(F.ceil(F.col("n") * (1 + MARGIN))))
     kind = lambda c: F.struct(F.col(c).alias("kind"), classes_of(F.col(c)).alias("classes"))
     kinds = F.when(F.col("own") == F.col("next"), F.array(kind("own"))).otherwise(F.array(kind("own"), kind("next")))
@@ -107,7 +130,7 @@ def signed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     features = F.when(F.col("kind") == 0, F.array_distinct(letters)).otherwise(F.col("words"))
     cls = lambda h: F.shiftright((F.shiftright(h, 32) + F.lit(1 << 31)) * F.col("classes"), 32).cast("int")
     signed = (
-        words.select("doc_id", "pos", "norm", "words", "own", F.inline(kinds))
+        words.select("doc_id", "pos", "norm", "letters", "words", "own", F.inline(kinds))
         .withColumn("f", F.sort_array(F.transform(features, lambda w: F.xxhash64(w))))
         .withColumn("cls", F.transform("f", cls))  # hashes in order: those of a class stand together
         .withColumn("present", F.array_distinct("cls"))
@@ -139,7 +162,7 @@ def signed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         line_key(F.col("norm")).alias("key"),
         F.xxhash64("norm").alias("h"),
         F.length("norm").alias("len"),
-        F.array(*[F.length("norm") - F.length(F.translate("norm", x, "")) for x in LETTERS]).alias("letters"),
+        "letters",
         (F.col("kind") == F.col("own")).alias("main"),
         (F.col("kind") > 1).alias("single"),
         F.when(F.col("kind") > 1, F.col("places")).otherwise(F.array_distinct(F.array_compact(pairs))).alias("blocks"),
@@ -157,8 +180,13 @@ def agreeing(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_lines(signed: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, few: int = FEW) -> DataFrame:
     """Edges (a, b) between keys of verified lines that connect all similar lines that agree on a block."""
     members, sizes = agreeing(signed)
+    shapes = shapes_of(members, signed)
+    marks = [c for c in shapes.columns if c not in ("h", "len")]
+    sides = [shapes.select(F.col("h").alias(x), F.struct("len", *marks).alias(f"of_{x}")) for x in ("a", "b")]
     # a hub is one row a key
-    stars = members.join(sized(sizes), "k").filter("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b"))
+    stars = members.join(sized(sizes), "k").filter("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct()
+    stars = stars.join(sides[0], "a").join(sides[1], "b")
+    stars = stars.filter(may_be_similar(lambda c: F.col(f"of_a.{c}"), lambda c: F.col(f"of_b.{c}"), marks, similarity)).select("a", "b")
     first = _verified(stars, distinct, docs, id_col, text_col, similarity)
     dense = components(first).withColumnRenamed("v", "h")
     some = sizes.filter("n > 2").select("k", "n")
@@ -166,9 +194,6 @@ def near_lines(signed: DataFrame, distinct: DataFrame, docs: DataFrame, id_col:
     # keys whose lines are all connected need no further look
     open_keys = own.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("k")
     own = own.join(sized(stored(open_keys, "open")), "k")
-    counts = [f"c{i}" for i in range(len(LETTERS))]
-    # different lines that share a short hash are rare: each of their shapes stands
-    shapes = signed.select("h", "len", *[F.col("letters")[i].alias(c) for i, c in enumerate(counts)]).distinct()
     # lengths of similar lines lie in one band or in neighbouring ones
     width = -math.log(max(similarity - 0.01, 1e-6))
     band = F.when(F.col("n") > few, F.floor(F.log("len") / width)).otherwise(0)
@@ -176,43 +201,67 @@ def near_lines(signed: DataFrame, distinct: DataFrame, docs: DataFrame, id_col:
     bands = F.when(F.col("n") > few, F.array("band", F.col("band") - 1)).otherwise(F.array("band"))
     left, right = own.alias("l"), own.withColumn("band", F.explode(bands)).alias("r")
     shorter = (F.col("l.len") < F.col("r.len")) | ((F.col("l.len") == F.col("r.len")) & (F.col("l.h") < F.col("r.h")))
-    most = F.floor(F.col("r.len") * (1 - similarity) + 1e-9)
-    apart = reduce(lambda a, b: a + b, [F.abs(F.col(f"l.{c}") - F.col(f"r.{c}")) for c in counts])
-    fits = shorter & (F.col("l.comp") != F.col("r.comp")) & (F.col("r.len") - F.col("l.len") <= most) & (apart <= 2 * most)
+    near = may_be_similar(lambda c: F.col(f"l.{c}"), lambda c: F.col(f"r.{c}"), marks, similarity)
+    fits = shorter & (F.col("l.comp") != F.col("r.comp")) & near
     pairs = left.join(right, (F.col("l.k") == F.col("r.k")) & (F.col("l.band") == F.col("r.band")) & fits)
     pairs = pairs.select(F.least("l.h", "r.h").alias("a"), F.greatest("l.h", "r.h").alias("b"))
     rest = _verified(pairs, distinct, docs, id_col, text_col, similarity)
     return first.unionByName(rest).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
 
+def shapes_of(members: DataFrame, signed: DataFrame) -> DataFrame:
+    """h, len, m0, m1 and so on of the lines in members, with the codes of their counts of letters.
+
+    Different lines that share a short hash are rare: each of their shapes stands.
+    """
+    ends = stored(members.select("h").distinct(), "member-lines")
+    counts = [F.col("letters")[i] for i in range(len(LETTERS))]
+    others = F.col("len") - reduce(lambda a, b: a + b, counts)
+    marks = [m.alias(f"m{i}") for i, m in enumerate(coded([*counts, others]))]
+    return stored(signed.filter("main").select("h", "len", *marks).join(sized(ends), "h").distinct(), "shapes")
+
+
+def may_be_similar(x: Callable[[str], Column], y: Callable[[str], Column], marks: list[str], similarity: float) -> Column:
+    """False only for lines that lengths or counts of letters tell apart; x and y give a column of each shape by name.
+
+    An edit takes one letter at most and adds one at most, so that what one line has more than the other is
+    no more than the edits: half the sum of the counts' differences and the lengths' difference.
+    """
+    most = F.floor(F.greatest(x("len"), y("len")) * (1 - similarity) + 1e-9)
+    longer = F.abs(x("len") - y("len"))
+    differ = reduce(lambda a, b: a + b, [F.bit_count(x(c).bitwiseXOR(y(c))) for c in marks])
+    return (longer <= most) & (differ + longer <= 2 * most)
+
+
 def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """a, b, key_a, key_b of the stored pairs whose lines are similar; texts are fetched for the lines in question only.
+    """a, b, key_a, key_b of the pairs whose lines are similar; texts are fetched for the lines in question only.
 
     Different lines that share a short hash are all compared.
     """
-    sides = [distinct.select(F.col("h").alias(x), F.col("len").alias(f"len_{x}")).distinct() for x in ("a", "b")]
-    longest, shortest = F.greatest("len_a", "len_b"), F.least("len_a", "len_b")
-    fits = longest - shortest <= F.floor(longest * (1 - similarity) + 1e-9)
-    pairs = stored(pairs.distinct().join(sides[0], "a").join(sides[1], "b").filter(fits).select("a", "b").distinct(), "line-pairs")
-    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-ends")
-    wanted = stored(distinct.join(sized(ends), "h").select("h", "doc_id", "pos"), "wanted")
-    sources = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    norm = normalised(F.get(F.split("text", "\n"), F.col("pos")))
-    # three numbers a row: a broadcast of WANTED rows spares a shuffle of all texts
-    some = F.broadcast(wanted) if wanted.count() <= WANTED else wanted
-    texts = stored(
-        sources.join(some, "doc_id")
-        .select("h", norm.alias("norm"))
-        .filter(F.xxhash64("norm") == F.col("h"))  # rows may share an id
-        .distinct()
-        .select("h", line_key(F.col("norm")).alias("key"), F.split("norm", " ").alias("words")),
-        "line-texts",
-    )
+    places: list[str] = []
+    with noted(places):
+        pairs = stored(pairs.distinct(), "line-pairs")
+        ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-ends")
+        wanted = stored(distinct.join(sized(ends), "h").select("h", "doc_id", "pos"), "wanted")
+        sources = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        norm = normalised(F.get(F.split("text", "\n"), F.col("pos")))
+        # three numbers a row: a broadcast of WANTED rows spares a shuffle of all texts
+        some = F.broadcast(wanted) if wanted.count() <= WANTED else wanted
+        texts = stored(
+            sources.join(some, "doc_id")
+            .select("h", norm.alias("norm"))
+            .filter(F.xxhash64("norm") == F.col("h"))  # rows may share an id
+            .distinct()
+            .select("h", line_key(F.col("norm")).alias("key"), F.split("norm", " ").alias("words")),
+            "line-texts",
+        )
     one, two = (
         texts.select(F.col("h").alias(x), F.col("key").alias(f"key_{x}"), F.col("words").alias(y)) for x, y in (("a", "x"), ("b", "y"))
     )
     both = pairs.join(one, "a").join(two, "b")
-    return stored(both.filter(similar(F.col("x"), F.col("y"), similarity)).select("a", "b", "key_a", "key_b"), "line-edges")
+    found = stored(both.filter(similar(F.col("x"), F.col("y"), similarity)).select("a", "b", "key_a", "key_b"), "line-edges")
+    delete(docs.sparkSession, places)
+    return found
 
 
 def similar(x: Column, y: Column, similarity: float) -> Column:
@@ -271,6 +320,31 @@ def similar(x: Column, y: Column, similarity: float) -> Column:
     )
 
 
+def _dropped(docs: DataFrame, id_col: str, text_col: str, similarity: float, few: int) -> DataFrame:
+    """doc_id and gone, the positions of the lines that are dropped, of each document that loses any."""
+    spark, near = docs.sparkSession, []
+    signed = stored(signed_lines(docs, id_col, text_col), "signed")
+    lines = signed.filter("main")
+    distinct = stored(
+        lines.groupBy("key")
+        .agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count(F.lit(1)).alias("n"), F.min("h").alias("h"))
+        .select("key", "h", "n", "at.doc_id", "at.pos"),
+        "lines",
+    )
+    with noted(near):
+        edges = near_lines(signed, distinct, docs, id_col, text_col, similarity, few)
+    groups = components(edges)
+    delete(spark, near)
+    joined = distinct.join(sized(groups.withColumnRenamed("v", "key")), "key")
+    first = stored(joined.groupBy("comp").agg(F.min(F.struct("doc_id", "pos")).alias("keep")), "keepers")
+    fuzzy = joined.join(sized(first), "comp").select("key", "keep")
+    alone = distinct.filter("n > 1").join(sized(groups.select(F.col("v").alias("key"))), "key", "left_anti")
+    decided = stored(fuzzy.unionByName(alone.select("key", F.struct("doc_id", "pos").alias("keep"))), "decided")
+    occurrences = lines.select("doc_id", "pos", "key").join(sized(decided), "key")
+    gone = occurrences.filter((F.col("keep.doc_id") != F.col("doc_id")) | (F.col("keep.pos") != F.col("pos")))
+    return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
+
+
 def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -285,27 +359,12 @@ def dedup_lines(
     row with a null id is left as it is and takes no part; rows that share an id are one document.  Empty
     tables give empty results; other columns are ignored.
     """
-    signed = stored(signed_lines(docs, id_col, text_col), "signed")
-    lines = signed.filter("main")
-    distinct = stored(
-        lines.groupBy("key")
-        .agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count(F.lit(1)).alias("n"), F.min("h").alias("h"), F.min("len").alias("len"))
-        .select("key", "h", "len", "n", "at.doc_id", "at.pos"),
-        "lines",
-    )
-    groups = components(near_lines(signed, distinct, docs, id_col, text_col, similarity, few))
-    joined = distinct.join(sized(groups.withColumnRenamed("v", "key")), "key")
-    first = stored(joined.groupBy("comp").agg(F.min(F.struct("doc_id", "pos")).alias("keep")), "keepers")
-    fuzzy = joined.join(sized(first), "comp").select("key", "keep")
-    alone = distinct.filter("n > 1").join(sized(groups.select(F.col("v").alias("key"))), "key", "left_anti")
-    decided = stored(fuzzy.unionByName(alone.select("key", F.struct("doc_id", "pos").alias("keep"))), "decided")
-    occurrences = lines.select("doc_id", "pos", "key").join(sized(decided), "key")
-    dropped = stored(
-        occurrences.filter((F.col("keep.doc_id") != F.col("doc_id")) | (F.col("keep.pos") != F.col("pos")))
-        .groupBy("doc_id")
-        .agg(F.collect_set("pos").alias("gone")),
-        "dropped",
-    )
+    spark, places = docs.sparkSession, []
+    with shuffles_released(spark):
+        with noted(places):
+            gone = _dropped(docs, id_col, text_col, similarity, few)
+        dropped = stored(gone, "dropped")
+        delete(spark, places)
     weight = dropped.agg(F.count(F.lit(1)), F.sum(F.size("gone"))).first()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.join(sized(dropped, max(weight[0], (weight[1] or 0) // 8)), "doc_id", "left")

@@ -24,7 +24,6 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.jaccard_join import mixed, sorted_groups
-from quarry.llm.scratch import delete, new_path, ship
+from quarry.llm.scratch import delete, new_path, ship, shuffles_released
 from quarry.llm.workers import tidy
 
 #: A token that no text can hold: words have no space.
@@ -276,18 +275,6 @@ def merged_parts(place: str, like: DataFrame, buckets: int, columns: int, write:
     return after
 
 
-@contextmanager
-def shuffles_released(spark: SparkSession) -> Iterator[None]:
-    """Meanwhile, what a query shuffled is deleted when the query ends, as its result is in the shared folder by then."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def cut_runs(buckets: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """A packed run for every bucket; keys are in order."""
     for bucket, part in by_bucket(buckets):

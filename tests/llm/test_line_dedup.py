@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import line_dedup
 from quarry.llm.line_dedup import COUNTED, COUNTERS, LANES, SIMILARITY, WIDTH, dedup_lines, kind_of, line_key, near_lines, similar, simhash
+from quarry.llm.scratch import noted
 from tests.llm import brute
 
 
@@ -165,6 +167,67 @@ def test_links_by_one_block(spark):
     assert got == {(a, b) for a in lines for b in lines if a < b and near(lines[a], lines[b])} >= {(4, 5), (108, 109)}
 
 
+def test_lines_that_letters_tell_apart(spark, monkeypatch):
+    """Of lines that share half their words, texts are compared only where the counts of all letters allow it."""
+    rng, fetched, real = random.Random(11), [], line_dedup._verified
+    same = [f"same{i}" for i in range(12)]
+
+    def line():
+        own = rng.sample("cdfghlmpuy", 3)
+        return " ".join(same + ["".join(rng.choice(own) for _ in range(8)) for _ in range(12)])
+
+    rows = [(i, line()) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + "s") for i in range(0, 60, 10)]
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *rest: fetched.append(pairs.distinct().count()) or real(pairs, *rest))
+    got = {r.doc_id: r.n_dropped for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, n in got.items() if n} == {100 + i for i in range(0, 60, 10)}
+    assert sum(fetched) <= 200
+
+
+def test_similar_lines_pass_the_counts_of_letters(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        a = [rng.choice("abcdefgh 0123é漢") for _ in range(rng.choice((8, 40, 120)))]
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 10)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = [rng.choice("aé漢z9")] * rng.randint(0, 1)
+        rows.append((i, "".join(a) + "x", "".join(b) + "x"))
+    docs = spark.createDataFrame(rows, "i long, x string, y string")
+    signed = line_dedup.signed_lines(docs.selectExpr("stack(2, 2 * i, x, 2 * i + 1, y) as (doc_id, text)"), "doc_id", "text").filter("main")
+    shapes = line_dedup.shapes_of(signed, signed)
+    marks = [c for c in shapes.columns if c not in ("h", "len")]
+    of = {r.doc_id: r for r in signed.select("doc_id", "h").join(shapes, "h").collect()}
+    norm = {r.doc_id: r.norm for r in docs.selectExpr("stack(2, 2 * i, x, 2 * i + 1, y) as (doc_id, text)").select("doc_id", line_dedup.normalised(F.col("text")).alias("norm")).collect()}
+    pairs = spark.createDataFrame(
+        [(i, {c: of[2 * i][c] for c in ("len", *marks)}, {c: of[2 * i + 1][c] for c in ("len", *marks)}) for i in range(400)],
+        "i long, x map<string, long>, y map<string, long>",
+    )
+    may = line_dedup.may_be_similar(lambda c: F.col("x")[c], lambda c: F.col("y")[c], marks, SIMILARITY)
+    got = {r.i: r.may for r in pairs.select("i", may.alias("may")).collect()}
+    alike = [i for i in got if near(norm[2 * i], norm[2 * i + 1])]
+    assert len(alike) > 200 and all(got[i] for i in alike)
+
+
+def test_codes_of_counts(spark):
+    pairs = [(a, b) for a in range(40) for b in range(40)]
+    code = lambda c: line_dedup.coded([F.col(c)])[0]
+    table = spark.createDataFrame(pairs, "a int, b int").select("a", "b", F.bit_count(code("a").bitwiseXOR(code("b"))).alias("n"))
+    assert all(r.n == abs(r.a - r.b) if abs(r.a - r.b) <= 8 else r.n <= 8 for r in table.collect())
+
+
+def test_only_the_dropped_lines_are_kept(spark):
+    """Of all tables that are stored on the way, only the one that the result reads is left."""
+    rows = [(i, f"one line of some words {i % 3}\nand a second line") for i in range(9)]
+    places = []
+    with noted(places):
+        out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = [p for p in places if os.path.exists(p.removeprefix("file://"))]
+    assert len(places) > 9 and [p.rsplit("-", 1)[1] for p in left] == ["dropped"]
+    assert out.count() == 9
+
+
 def test_hard_rows(hard, empty):
     rows = {r.doc_id: r for r in dedup_lines(hard).collect()}
     assert len(dedup_lines(hard).collect()) == hard.count()
