@@ -49,7 +49,7 @@ def noted(places: list[str]) -> Iterator[None]:
     try:
         yield
     finally:
-        _noting.remove(places)
+        _noting[:] = [x for x in _noting if x is not places]  # lists of the same places are equal
 
 
 @contextmanager
