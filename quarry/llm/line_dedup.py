@@ -29,12 +29,12 @@ from quarry.llm.scratch import delete, noted, shuffles_released, sized, stored
 SIMILARITY = 0.9
 #: Lines up to which those that agree on a block meet in one place; where there are more, they meet by their lengths.
 FEW = 64
-#: Characters up to which lines are compared whole.
+#: Characters up to which what differs in two lines is compared at once.
 LONG = 2000
 #: Distances that are tried before the one that is allowed, the widest first.
 BANDS = (64, 8)
 #: Rows of three numbers that are broadcast to fetch lines.
-WANTED = 800_000
+WANTED = 1_200_000
 #: Characters that are counted, frequent ones first; all others are counted together.
 LETTERS = tuple(" etaoinsrhldcumfpgwybvkxjqz0123456789")
 #: Bits of a count's code.
@@ -52,6 +52,8 @@ LANES, WIDTH, COUNTERS = 4, 8, 7
 ONES = sum(1 << (WIDTH * i) for i in range(COUNTERS))
 #: Words that a block counts: the smallest by hash, if it ever has more.
 COUNTED = (1 << (WIDTH - 1)) - 1
+#: Words of a block up to which they are counted without a loop over an array.
+UNROLLED = 24
 
 
 def normalised(line: Column) -> Column:
@@ -90,6 +92,24 @@ def simhash(hashes: Column) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), [lane(k) for k in range(LANES)])
 
 
+def simhash_of_slices(rows: DataFrame, hashes: str, start: str, count: str, name: str) -> DataFrame:
+    """rows with the simhash of count hashes from start on, which compiled code finds for up to UNROLLED of them."""
+    one = lambda i: F.when(F.col(count) > i, F.get(hashes, F.col(start) + (i - 1)))
+    own = [f"hash {i}" for i in range(UNROLLED)]
+    rows = rows.select("*", *[F.coalesce(one(i), F.lit(0).cast("long")).alias(c) for i, c in enumerate(own)])
+    half = F.shiftright(F.col(count) + 1, 1)
+
+    def lane(k: int) -> Column:
+        votes = [F.shiftrightunsigned(F.col(c), k).bitwiseAND(F.lit(ONES)) for c in own]
+        reached = F.shiftrightunsigned(reduce(lambda a, b: a + b, votes) + (F.lit(COUNTED + 1) - half) * F.lit(ONES), WIDTH - 1)
+        return F.shiftleft(reached.bitwiseAND(F.lit(ONES)), k)
+
+    rows = rows.select("*", *[lane(k).alias(f"lane {k}") for k in range(LANES)]).drop(*own)
+    lanes = reduce(lambda a, b: a.bitwiseOR(b), [F.col(f"lane {k}") for k in range(LANES)])
+    many = simhash(F.slice(hashes, F.col(start), F.least(F.lit(COUNTED), F.col(count))))
+    return rows.withColumn(name, F.when(F.col(count) > UNROLLED, many).otherwise(lanes)).drop(*[f"lane {k}" for k in range(LANES)])
+
+
 def with_letters(lines: DataFrame) -> DataFrame:
     """lines with letters, the count of each of LETTERS in norm."""
     rest = ["norm"]
@@ -110,9 +130,11 @@ def coded(counts: list[Column]) -> list[Column]:
 
 
 def signed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, pos, key, h, len, letters, main, single, blocks of every line that has words, a second time if it is near the next kind.
+    """doc_id, pos, key, h, len, letters, main, single, blocks of every line that has words, in one row or several.
 
     key is that of the normalised line, h a shorter hash for joins, len its length, and blocks holds a hash of each block's place and bits.
+    A row holds one block, or all pairs of a short line; a line that is near the next kind has that kind's blocks too.  One row of a line
+    is main.
     """
     lines = (
         docs.filter(F.col(id_col).isNotNull())
@@ -129,44 +151,82 @@ def signed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     features = F.when(F.col("kind") == 0, F.array_distinct(letters)).otherwise(F.col("words"))
     cls = lambda h: F.shiftright((F.shiftright(h, 32) + F.lit(1 << 31)) * F.col("classes"), 32).cast("int")
-    signed = (
-        words.select("doc_id", "pos", "norm", "letters", "words", "own", F.inline(kinds))
+    hashed = (
+        words.select(
+            "doc_id",
+            "pos",
+            line_key(F.col("norm")).alias("key"),
+            F.xxhash64("norm").alias("h"),
+            F.length("norm").alias("len"),
+            "norm",
+            "letters",
+            "words",
+            "own",
+            F.inline(kinds),
+        )
         .withColumn("f", F.sort_array(F.transform(features, lambda w: F.xxhash64(w))))
         .withColumn("cls", F.transform("f", cls))  # hashes in order: those of a class stand together
-        .withColumn("present", F.array_distinct("cls"))
-        .withColumn("starts", F.transform("present", lambda c: F.array_position(F.col("cls"), c).cast("int")))
-        .withColumn(
-            "parts",
-            F.transform(
-                "starts",
-                lambda s, i: F.slice("f", s, F.least(F.lit(COUNTED), F.coalesce(F.get("starts", i + 1), F.size("f") + 1) - s)),
-            ),
-        )
-        .withColumn("bits", F.transform("parts", simhash))
-        .withColumn("places", F.transform("bits", lambda b, i: F.xxhash64("kind", F.get("present", i), b)))
     )
-    # a class without words counts as a block too, but two of them say nothing
-    every = F.transform(F.sequence(F.lit(0), F.col("classes") - 1), lambda c: F.get("places", F.array_position("present", c).cast("int") - 1))
-    pairs = F.flatten(
-        F.transform(
-            "every",
-            lambda b, i: F.transform(
-                F.slice("every", i + 2, F.size("every")), lambda c: F.when(b.isNotNull() | c.isNotNull(), F.xxhash64(b, c))
-            ),
-        )
+    pairs = hashed.select("*", _pairs_of_classes().alias("pairs"), F.reverse("cls").alias("back"))
+    # a row each class, or one for all pairs of classes
+    each = F.when(F.col("kind") < 2, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("classes") - 1))
+    rows = (
+        pairs.withColumn("c", F.explode(each))
+        .withColumn("start", F.array_position("cls", F.col("c")).cast("int"))
+        .filter("c < 0 or start > 0")
+        .withColumn("last", F.size("f") + 1 - F.array_position("back", F.col("c")).cast("int"))
+        .withColumn("count", F.when(F.col("c") < 0, 0).otherwise(F.col("last") - F.col("start") + 1))
     )
-    signed = signed.withColumn("every", F.when(F.col("kind") < 2, every))
+    place = F.xxhash64("kind", "c", "bits")
+    signed = simhash_of_slices(rows, "f", "start", "count", "bits").withColumn("first", F.col("c") <= F.get("cls", F.lit(0)))
     return signed.select(
         "doc_id",
         "pos",
-        line_key(F.col("norm")).alias("key"),
-        F.xxhash64("norm").alias("h"),
-        F.length("norm").alias("len"),
+        F.when(F.col("first"), F.col("key")).alias("key"),
+        "h",
+        "len",
         "letters",
-        (F.col("kind") == F.col("own")).alias("main"),
+        ((F.col("kind") == F.col("own")) & F.col("first")).alias("main"),
         (F.col("kind") > 1).alias("single"),
-        F.when(F.col("kind") > 1, F.col("places")).otherwise(F.array_distinct(F.array_compact(pairs))).alias("blocks"),
+        F.when(F.col("c") < 0, F.col("pairs")).otherwise(F.array(place)).alias("blocks"),
+    )
+
+
+def _pairs_of_classes() -> Column:
+    """A hash of each two classes, by f and cls; null where blocks are single classes."""
+    present = F.array_distinct("cls")
+    starts = F.transform(present, lambda c: F.array_position(F.col("cls"), c).cast("int"))
+    # evaluated once, as a lambda's variable
+    of = F.transform(F.array(F.struct(present.alias("present"), starts.alias("starts"))), lambda s: F.struct(
+        s["present"].alias("present"),
+        F.transform(
+            s["starts"],
+            lambda start, i: simhash(F.slice("f", start, F.least(F.lit(COUNTED), F.coalesce(F.get(s["starts"], i + 1), F.size("f") + 1) - start))),
+        ).alias("bits"),
+    ))
+    # a class without words counts as a block too, but two of them say nothing
+    every = F.transform(
+        of,
+        lambda s: F.transform(
+            F.sequence(F.lit(0), F.col("classes") - 1),
+            lambda c: F.when(
+                F.array_contains(s["present"], c),
+                F.xxhash64("kind", c, F.get(s["bits"], F.array_position(s["present"], c).cast("int") - 1)),
+            ),
+        ),
     )
+    pairs = F.transform(
+        every,
+        lambda e: F.flatten(
+            F.transform(
+                e,
+                lambda b, i: F.transform(
+                    F.slice(e, i + 2, F.size(e)), lambda c: F.when(b.isNotNull() | c.isNotNull(), F.xxhash64(b, c))
+                ),
+            )
+        ),
+    )
+    return F.when(F.col("kind") < 2, F.array_distinct(F.array_compact(F.get(pairs, F.lit(0)))))
 
 
 def agreeing(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -180,14 +240,15 @@ def agreeing(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_lines(signed: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, few: int = FEW) -> DataFrame:
     """Edges (a, b) between keys of verified lines that connect all similar lines that agree on a block."""
     members, sizes = agreeing(signed)
-    shapes = shapes_of(members, signed)
+    texts = texts_of(members, distinct, docs, id_col, text_col)
+    shapes = shapes_of(members, texts)
     marks = [c for c in shapes.columns if c not in ("h", "len")]
     sides = [shapes.select(F.col("h").alias(x), F.struct("len", *marks).alias(f"of_{x}")) for x in ("a", "b")]
     # a hub is one row a key
     stars = members.join(sized(sizes), "k").filter("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct()
     stars = stars.join(sides[0], "a").join(sides[1], "b")
     stars = stars.filter(may_be_similar(lambda c: F.col(f"of_a.{c}"), lambda c: F.col(f"of_b.{c}"), marks, similarity)).select("a", "b")
-    first = _verified(stars, distinct, docs, id_col, text_col, similarity)
+    first = _verified(stars, texts, similarity)
     dense = components(first).withColumnRenamed("v", "h")
     some = sizes.filter("n > 2").select("k", "n")
     own = members.join(sized(some), "k").join(sized(dense), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
@@ -205,20 +266,36 @@ def near_lines(signed: DataFrame, distinct: DataFrame, docs: DataFrame, id_col:
     fits = shorter & (F.col("l.comp") != F.col("r.comp")) & near
     pairs = left.join(right, (F.col("l.k") == F.col("r.k")) & (F.col("l.band") == F.col("r.band")) & fits)
     pairs = pairs.select(F.least("l.h", "r.h").alias("a"), F.greatest("l.h", "r.h").alias("b"))
-    rest = _verified(pairs, distinct, docs, id_col, text_col, similarity)
+    rest = _verified(pairs, texts, similarity)
     return first.unionByName(rest).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
 
-def shapes_of(members: DataFrame, signed: DataFrame) -> DataFrame:
+def texts_of(members: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """h, key, len, letters, words of the lines in members.
+
+    Different lines that share a short hash are all there.
+    """
+    ends = stored(members.select("h").distinct(), "member-lines")
+    wanted = stored(distinct.join(sized(ends), "h").select("h", "doc_id", "pos"), "wanted")
+    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    # three numbers a row: a broadcast of WANTED rows spares a shuffle of all texts
+    some = F.broadcast(wanted) if wanted.count() <= WANTED else wanted
+    norm = lines.join(some, ["doc_id", "pos"]).select("h", normalised(F.col("line")).alias("norm"))
+    norm = with_letters(norm.filter(F.xxhash64("norm") == F.col("h")))  # rows may share an id
+    found = norm.select("h", line_key(F.col("norm")).alias("key"), F.length("norm").alias("len"), "letters", F.split("norm", " ").alias("words"))
+    return stored(found, "line-texts")
+
+
+def shapes_of(members: DataFrame, lines: DataFrame) -> DataFrame:
     """h, len, m0, m1 and so on of the lines in members, with the codes of their counts of letters.
 
     Different lines that share a short hash are rare: each of their shapes stands.
     """
-    ends = stored(members.select("h").distinct(), "member-lines")
+    ends = members.select("h").distinct()
     counts = [F.col("letters")[i] for i in range(len(LETTERS))]
     others = F.col("len") - reduce(lambda a, b: a + b, counts)
     marks = [m.alias(f"m{i}") for i, m in enumerate(coded([*counts, others]))]
-    return stored(signed.filter("main").select("h", "len", *marks).join(sized(ends), "h").distinct(), "shapes")
+    return stored(lines.select("h", "len", *marks).join(ends, "h", "left_semi").distinct(), "shapes")
 
 
 def may_be_similar(x: Callable[[str], Column], y: Callable[[str], Column], marks: list[str], similarity: float) -> Column:
@@ -233,44 +310,38 @@ def may_be_similar(x: Callable[[str], Column], y: Callable[[str], Column], marks
     return (longer <= most) & (differ + longer <= 2 * most)
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """a, b, key_a, key_b of the pairs whose lines are similar; texts are fetched for the lines in question only.
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """a, b, key_a, key_b of the pairs whose lines are similar.
 
     Different lines that share a short hash are all compared.
     """
     places: list[str] = []
     with noted(places):
         pairs = stored(pairs.distinct(), "line-pairs")
-        ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-ends")
-        wanted = stored(distinct.join(sized(ends), "h").select("h", "doc_id", "pos"), "wanted")
-        sources = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        norm = normalised(F.get(F.split("text", "\n"), F.col("pos")))
-        # three numbers a row: a broadcast of WANTED rows spares a shuffle of all texts
-        some = F.broadcast(wanted) if wanted.count() <= WANTED else wanted
-        texts = stored(
-            sources.join(some, "doc_id")
-            .select("h", norm.alias("norm"))
-            .filter(F.xxhash64("norm") == F.col("h"))  # rows may share an id
-            .distinct()
-            .select("h", line_key(F.col("norm")).alias("key"), F.split("norm", " ").alias("words")),
-            "line-texts",
-        )
     one, two = (
-        texts.select(F.col("h").alias(x), F.col("key").alias(f"key_{x}"), F.col("words").alias(y)) for x, y in (("a", "x"), ("b", "y"))
+        texts.select(F.col("h").alias(x), F.col("key").alias(f"key_{x}"), F.col("letters").alias(f"of_{x}"), F.col("words").alias(y))
+        for x, y in (("a", "x"), ("b", "y"))
     )
-    both = pairs.join(one, "a").join(two, "b")
+    both = pairs.join(one, "a").join(two, "b").filter(letters_allow(F.col("of_a"), F.col("of_b"), F.col("x"), F.col("y"), similarity))
     found = stored(both.filter(similar(F.col("x"), F.col("y"), similarity)).select("a", "b", "key_a", "key_b"), "line-edges")
-    delete(docs.sparkSession, places)
+    delete(texts.sparkSession, places)
     return found
 
 
+def letters_allow(of_x: Column, of_y: Column, x: Column, y: Column, similarity: float) -> Column:
+    """As may_be_similar, by the counts themselves and not by their codes: these end at BITS more."""
+    size = lambda words: F.length(F.array_join(words, " "))
+    most = F.floor(F.greatest(size(x), size(y)) * (1 - similarity) + 1e-9)
+    differ = F.aggregate(F.zip_with(of_x, of_y, lambda p, q: F.abs(p - q)), F.lit(0), lambda a, n: a + n)
+    return differ + F.abs(size(x) - size(y)) <= 2 * most
+
+
 def similar(x: Column, y: Column, similarity: float) -> Column:
     """Whether two lines, given as words, have an edit similarity of at least the threshold.
 
     Lines of as many words that differ in few are similar without a table of edits: exchanging the words
-    bounds the distance.  Else lines of up to LONG characters are compared whole, and of longer ones what is
-    left when the words that both begin and end with are taken off; each word stands with the blank that
-    follows it.
+    bounds the distance.  Else what is left is compared when the words that both begin and end with are taken
+    off; each word stands with the blank that follows it.
     """
     line = lambda words: F.array_join(words, " ")
     size = lambda words: F.length(line(words))
@@ -293,29 +364,30 @@ def similar(x: Column, y: Column, similarity: float) -> Column:
             F.least(shared(F.reverse(s["x"]), F.reverse(s["y"])), F.size(s["x"]) - s["head"], F.size(s["y"]) - s["head"]).alias("tail"),
         ),
     )
-    middle = lambda s, side: F.array_join(
-        F.transform(F.slice(s[side], s["head"] + 1, F.greatest(F.size(s[side]) - s["head"] - s["tail"], F.lit(0))), lambda w: F.concat(w, F.lit(" "))), ""
-    )
+
+    def middle(s: Column, side: str) -> Column:
+        own = F.greatest(F.size(s[side]) - s["head"] - s["tail"], F.lit(0))
+        return F.concat(line(F.slice(s[side], s["head"] + 1, own)), F.when(own > 0, " ").otherwise(""))
+
     exchanged = F.aggregate(
         F.zip_with(x, y, lambda p, q: F.when(p == q, 0).otherwise(F.greatest(F.length(p), F.length(q)))), F.lit(0), lambda a, n: a + n
     )
-    # the table is a band as wide as the distance allowed: a narrow one suffices for most
+    # the table is a band as wide as the distance allowed: in long ones a narrow one suffices for most
     middles = F.transform(ends, lambda s: F.struct(middle(s, "x").alias("x"), middle(s, "y").alias("y"), s["most"].alias("most")))
 
     def within(s: Column, bound: Column) -> Column:
         return F.call_function("levenshtein", s["x"], s["y"], bound) >= 0
 
     def decided(s: Column) -> Column:
-        found = within(s, s["most"])
+        whole = found = within(s, s["most"])
         for band in BANDS:
             found = F.when(within(s, F.least(F.lit(band), s["most"])), True).when(s["most"] <= band, False).otherwise(found)
-        return found
+        return F.when(F.least(F.length(s["x"]), F.length(s["y"])) <= LONG, whole).otherwise(found)
 
     near = F.transform(middles, decided)[0]
     return (
         F.when(F.abs(size(x) - size(y)) > most, False)
         .when((F.size(x) == F.size(y)) & (exchanged <= most), True)
-        .when(longest <= LONG, F.call_function("levenshtein", line(x), line(y), most) >= 0)
         .otherwise(near)
     )
 
@@ -323,7 +395,8 @@ def similar(x: Column, y: Column, similarity: float) -> Column:
 def _dropped(docs: DataFrame, id_col: str, text_col: str, similarity: float, few: int) -> DataFrame:
     """doc_id and gone, the positions of the lines that are dropped, of each document that loses any."""
     spark, near = docs.sparkSession, []
-    signed = stored(signed_lines(docs, id_col, text_col), "signed")
+    # letters are counted once lines are known to agree with others
+    signed = stored(signed_lines(docs, id_col, text_col).drop("letters"), "signed")
     lines = signed.filter("main")
     distinct = stored(
         lines.groupBy("key")

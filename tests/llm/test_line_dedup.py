@@ -236,3 +236,35 @@ def test_hard_rows(hard, empty):
     assert rows[11].text == "line one\nline two\n\n" and rows[11].n_dropped == 1
     assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.text_sha256 for r in rows.values())
     assert dedup_lines(empty).count() == 0
+
+
+def test_simhash_of_slices(spark):
+    """What compiled code counts, and what a loop counts where a block has more words, is the SimHash of each slice."""
+    rng = random.Random(13)
+    hashes = [rng.getrandbits(64) - (1 << 63) for _ in range(140)]
+    sizes = [0, 1, 2, 3, line_dedup.UNROLLED - 1, line_dedup.UNROLLED, line_dedup.UNROLLED + 1, COUNTED, COUNTED + 5]
+    rows = [(start, n, hashes) for start in (1, 5) for n in sizes]
+    table = spark.createDataFrame(rows, "start int, n int, f array<long>")
+    out = line_dedup.simhash_of_slices(table, "f", "start", "n", "bits").filter("n > 0")
+    got = out.select("bits", simhash(F.slice("f", F.col("start"), F.least(F.lit(COUNTED), F.col("n")))).alias("want")).collect()
+    assert len(got) == 2 * len(sizes) - 2 and all(r.bits == r.want for r in got)
+
+
+def test_texts_are_fetched_once_and_letters_counted_late(spark, monkeypatch):
+    """Letters are counted in lines that agree with others alone, and one table of texts serves both comparisons."""
+    tables, real = [], line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df, tag: tables.append((tag, df.columns)) or real(df, tag))
+    rows = [(i, f"some words of a line that stands {i // 2} times here\nother{i} words{i} alone{i}") for i in range(6)]
+    assert dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).count() == 6
+    assert [tag for tag, _ in tables].count("line-texts") == 1
+    assert all("letters" not in columns for tag, columns in tables if tag == "signed")
+
+
+def test_counts_of_letters_beyond_their_codes(spark):
+    """Long lines whose counts differ by more than the codes tell are told apart before their edits are counted."""
+    letters = lambda t: [t.count(c) for c in line_dedup.LETTERS]
+    pairs = [("ab " * 200 + "a", "ab " * 150 + "cd " * 50 + "a"), ("ab " * 200 + "a", "ab " * 195 + "cd " * 5 + "a")]
+    rows = [(i, a.split(), b.split(), letters(a), letters(b)) for i, (a, b) in enumerate(pairs)]
+    table = spark.createDataFrame(rows, "i int, x array<string>, y array<string>, of_x array<int>, of_y array<int>")
+    allow = line_dedup.letters_allow(F.col("of_x"), F.col("of_y"), F.col("x"), F.col("y"), SIMILARITY)
+    assert [r.a for r in table.select("i", allow.alias("a")).sort("i").collect()] == [False, True]
