@@ -318,10 +318,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     places: list[str] = []
     with noted(places):
         pairs = stored(pairs.distinct(), "line-pairs")
-    one, two = (
-        texts.select(F.col("h").alias(x), F.col("key").alias(f"key_{x}"), F.col("letters").alias(f"of_{x}"), F.col("words").alias(y))
-        for x, y in (("a", "x"), ("b", "y"))
-    )
+
+        def side(end: str, words: str) -> DataFrame:
+            """Texts of the lines at this end of the pairs alone: all others would be shuffled too."""
+            ends = stored(pairs.select(F.col(end).alias("h")).distinct(), "line-ends")
+            own = texts.join(F.broadcast(ends) if ends.count() <= WANTED else ends, "h", "left_semi")
+            return own.select(F.col("h").alias(end), F.col("key").alias(f"key_{end}"), F.col("letters").alias(f"of_{end}"), F.col("words").alias(words))
+
+        one, two = side("a", "x"), side("b", "y")
     both = pairs.join(one, "a").join(two, "b").filter(letters_allow(F.col("of_a"), F.col("of_b"), F.col("x"), F.col("y"), similarity))
     found = stored(both.filter(similar(F.col("x"), F.col("y"), similarity)).select("a", "b", "key_a", "key_b"), "line-edges")
     delete(texts.sparkSession, places)
