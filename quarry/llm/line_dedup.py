@@ -1,14 +1,13 @@
 """Fuzzy line deduplication in DataFrame operations only.
 
-Lines are normalised to lower-cased words of letters and digits, and equal lines are combined.  The SimHash
-of a line is made of blocks: the hash of a word (in very short lines, of three letters) says which class it
-is in and so in which blocks it votes.  A changed word therefore spoils two classes at most and leaves all
-other blocks as they are, and near lines agree on some block whatever their other blocks are (pigeonhole).
-The number of classes grows with the line, so that a block stands for a few words; in short lines a block
-is a pair of classes.
+Lines are normalised to lower-cased words of letters and digits, and equal lines are combined.  The blocks of a
+line are SimHashes of three of its rarest words, the long ones: each three of the four rarest, or in lines of
+48 words or more three of each class of words, which their hashes tell.  A changed word spoils few blocks, and
+near lines agree on some block whatever their other blocks are (pigeonhole).  In lines of fewer than six words
+a block is a pair of classes of three letters.
 
 Lines that agree on a block are compared: first with the smallest of them alone, which connects what is
-dense with one pair a line, then all that are not connected yet, however many agree on the block.  Lengths
+dense with one pair a line, then with four more, then all that are not connected yet, however many agree on the block.  Lengths
 and counts of every letter first rule out pairs that too many edits lie between, before a text is fetched.
 Pairs are verified by edit similarity, connected lines form a group, and of all occurrences of a group's
 lines the first one (by document and position) stays.
@@ -29,10 +28,12 @@ from quarry.llm.scratch import delete, noted, shuffles_released, sized, stored
 SIMILARITY = 0.9
 #: Lines up to which those that agree on a block meet in one place; where there are more, they meet by their lengths.
 FEW = 64
-#: Characters up to which what differs in two lines is compared at once.
-LONG = 2000
-#: Distances that are tried before the one that is allowed, the widest first.
-BANDS = (64, 8)
+#: Distances that are tried before one that is allowed and more than twice as far, the widest first.
+BANDS = (64, 16)
+#: Words up to which one line has more than the other where taking them out in one place is tried.
+GAP = 3
+#: Lines beyond which a block that is not all connected is compared with four more of its lines before all pairs.
+HUBS_FROM = 8
 #: Rows of three numbers that are broadcast to fetch lines.
 WANTED = 1_200_000
 #: Characters that are counted, frequent ones first; all others are counted together.
@@ -42,8 +43,15 @@ BITS = 8
 
 #: Words from which words are the features, and from which a block is one class.
 WORDS_FROM, SINGLE_FROM = 6, 16
-#: Classes of the three kinds of lines; of the last kind up to SINGLE_FROM * 3 words, then GROWN, then threefold.
-LETTER_CLASSES, PAIR_CLASSES, SINGLE_CLASSES, GROWN = 8, 4, 5, 8
+#: Classes of letters and of words.
+LETTER_CLASSES, CLASSES = 8, 4
+#: A word's number: the bits of its hash, then of its rank by length, then of its class; bytes from which words rank alike.
+HASH_BITS, CLASS_AT = 55, 61
+HASHES, RARE = (1 << HASH_BITS) - 1, 7
+#: Kind of lines from which blocks are classes of words: those of 48 words or more; before it, of the line's four rarest words.
+LONG_KIND = 3
+#: Words from which the next three rarest words of each class are blocks too.
+TWICE_FROM = 144
 #: Share of further words at which a line is signed for the next kind too.
 MARGIN = 0.12
 
@@ -58,7 +66,8 @@ UNROLLED = 24
 
 def normalised(line: Column) -> Column:
     """Lower-cased runs of letters and digits, one blank between; empty for a line of marks alone."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    # a single blank stays as it is: no match and no replacement at most words
+    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N} ][^\p{L}\p{N}]*| [^\p{L}\p{N}]+", " "))
 
 
 def line_key(norm: Column) -> Column:
@@ -72,12 +81,6 @@ def kind_of(n: Column) -> Column:
     return F.when(n < WORDS_FROM, 0).when(n < SINGLE_FROM, 1).otherwise(grown).cast("int")
 
 
-def classes_of(kind: Column) -> Column:
-    grown = F.round(GROWN * F.pow(F.lit(3.0), kind - 3))
-    found = F.when(kind == 0, LETTER_CLASSES).when(kind == 1, PAIR_CLASSES).when(kind == 2, SINGLE_CLASSES).otherwise(grown)
-    return found.cast("int")
-
-
 def simhash(hashes: Column) -> Column:
     """SimHash of up to COUNTED hashes: a bit is set if at least half of the hashes have it set."""
     half = F.floor((F.size(hashes) + 1) / 2)
@@ -129,12 +132,37 @@ def coded(counts: list[Column]) -> list[Column]:
     return [reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c, BITS * i) for i, c in enumerate(part)]) for part in parts]
 
 
+def majority(a: Column, b: Column, c: Column) -> Column:
+    """SimHash of three hashes in all their bits."""
+    return a.bitwiseAND(b).bitwiseOR(a.bitwiseAND(c)).bitwiseOR(b.bitwiseAND(c))
+
+
+def words_coded(words: Column, mask: int) -> Column:
+    """Different words as numbers in order: by class if the mask has its bits, then longer words first, up to RARE bytes, then by hash.
+
+    Long words are rare ones.
+    """
+    ranks = lambda w: F.shiftleft((F.lit(RARE) - F.least(F.octet_length(w), F.lit(RARE))).cast("long"), HASH_BITS)
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(mask)).bitwiseOR(ranks(w)))))
+
+
+def short_blocks(codes: Column, m: Column) -> Column:
+    """Of the four rarest of m words, each three: lines that differ by one word agree on one of them."""
+    word = [F.get(codes, F.lit(i) % m) for i in range(4)]
+    return F.array(*[F.xxhash64(F.lit(1), majority(*[word[i] for i in range(4) if i != out])) for out in range(4)])
+
+
+def long_blocks(codes: Column, starts: list[Column], m: Column, skipped: int = 0) -> Column:
+    """The three rarest words of each class, or the next three; where a class has fewer, those of the next one follow."""
+    at = lambda start, i: F.get(codes, (start + (skipped + i)) % m)
+    return F.array(*[F.xxhash64(F.lit(2 + skipped), F.lit(c), majority(*[at(x, i) for i in range(3)])) for c, x in enumerate(starts)])
+
+
 def signed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, pos, key, h, len, letters, main, single, blocks of every line that has words, in one row or several.
+    """doc_id, pos, key, h, len, letters, main, single, blocks of every line that has words.
 
     key is that of the normalised line, h a shorter hash for joins, len its length, and blocks holds a hash of each block's place and bits.
-    A row holds one block, or all pairs of a short line; a line that is near the next kind has that kind's blocks too.  One row of a line
-    is main.
+    A line that is near the next kind has that kind's blocks too.
     """
     lines = (
         docs.filter(F.col(id_col).isNotNull())
@@ -142,58 +170,46 @@ def signed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .filter(F.col("line").rlike(r"[\p{L}\p{N}]"))
         .select("doc_id", "pos", normalised(F.col("line")).alias("norm"))
     )
-    words = with_letters(lines).withColumn("words", F.array_distinct(F.split("norm", " "))).withColumn("n", F.size("words"))
+    words = with_letters(lines).withColumn("words", F.split("norm", " ")).withColumn("n", F.size("words"))
     words = words.withColumn("own", kind_of(F.col("n"))).withColumn("next", kind_of(F.ceil(F.col("n") * (1 + MARGIN))))
-    kind = lambda c: F.struct(F.col(c).alias("kind"), classes_of(F.col(c)).alias("classes"))
-    kinds = F.when(F.col("own") == F.col("next"), F.array(kind("own"))).otherwise(F.array(kind("own"), kind("next")))
     letters = F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("norm") - 2, F.lit(1))), lambda i: F.substring("norm", i, F.lit(3))
     )
-    features = F.when(F.col("kind") == 0, F.array_distinct(letters)).otherwise(F.col("words"))
-    cls = lambda h: F.shiftright((F.shiftright(h, 32) + F.lit(1 << 31)) * F.col("classes"), 32).cast("int")
-    hashed = (
-        words.select(
-            "doc_id",
-            "pos",
-            line_key(F.col("norm")).alias("key"),
-            F.xxhash64("norm").alias("h"),
-            F.length("norm").alias("len"),
-            "norm",
-            "letters",
-            "words",
-            "own",
-            F.inline(kinds),
-        )
-        .withColumn("f", F.sort_array(F.transform(features, lambda w: F.xxhash64(w))))
+    cls = lambda h: F.shiftright((F.shiftright(h, 32) + F.lit(1 << 31)) * LETTER_CLASSES, 32).cast("int")
+    short, long = (F.col("next") > 0) & (F.col("own") < LONG_KIND), F.col("next") >= LONG_KIND
+    bounds = F.array(*[F.lit(c << CLASS_AT).cast("long") for c in range(CLASSES)])
+    features = (
+        words.withColumn("f", F.when(F.col("own") == 0, F.sort_array(F.transform(F.array_distinct(letters), lambda w: F.xxhash64(w)))))
+        .withColumn("short", F.when(short, words_coded(F.col("words"), HASHES)))
+        .withColumn("long", F.when(long, words_coded(F.col("words"), HASHES | (CLASSES - 1) << CLASS_AT)))
         .withColumn("cls", F.transform("f", cls))  # hashes in order: those of a class stand together
+        .withColumn("bounded", F.sort_array(F.concat("long", bounds)))
     )
-    pairs = hashed.select("*", _pairs_of_classes().alias("pairs"), F.reverse("cls").alias("back"))
-    # a row each class, or one for all pairs of classes
-    each = F.when(F.col("kind") < 2, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("classes") - 1))
-    rows = (
-        pairs.withColumn("c", F.explode(each))
-        .withColumn("start", F.array_position("cls", F.col("c")).cast("int"))
-        .filter("c < 0 or start > 0")
-        .withColumn("last", F.size("f") + 1 - F.array_position("back", F.col("c")).cast("int"))
-        .withColumn("count", F.when(F.col("c") < 0, 0).otherwise(F.col("last") - F.col("start") + 1))
+    # of what stands before a bound, so many are bounds
+    starts = [(F.array_position("bounded", F.lit(c << CLASS_AT).cast("long")) - (1 + c)).cast("int") for c in range(CLASSES)]
+    features = features.select("*", *[x.alias(f"start {c}") for c, x in enumerate(starts)]).drop("bounded")
+    none, starts = F.lit([]).cast("array<bigint>"), [F.col(f"start {c}") for c in range(CLASSES)]
+    blocks = F.concat(
+        F.when(F.col("own") == 0, _pairs_of_classes()).otherwise(none),
+        F.when(short, short_blocks(F.col("short"), F.size("short"))).otherwise(none),
+        F.when(long, long_blocks(F.col("long"), starts, F.size("long"))).otherwise(none),
+        F.when(F.col("n") >= TWICE_FROM, long_blocks(F.col("long"), starts, F.size("long"), 3)).otherwise(none),
     )
-    place = F.xxhash64("kind", "c", "bits")
-    signed = simhash_of_slices(rows, "f", "start", "count", "bits").withColumn("first", F.col("c") <= F.get("cls", F.lit(0)))
-    return signed.select(
+    return features.select(
         "doc_id",
         "pos",
-        F.when(F.col("first"), F.col("key")).alias("key"),
-        "h",
-        "len",
+        line_key(F.col("norm")).alias("key"),
+        F.xxhash64("norm").alias("h"),
+        F.length("norm").alias("len"),
         "letters",
-        ((F.col("kind") == F.col("own")) & F.col("first")).alias("main"),
-        (F.col("kind") > 1).alias("single"),
-        F.when(F.col("c") < 0, F.col("pairs")).otherwise(F.array(place)).alias("blocks"),
+        F.lit(True).alias("main"),
+        (F.col("own") >= LONG_KIND).alias("single"),
+        blocks.alias("blocks"),
     )
 
 
 def _pairs_of_classes() -> Column:
-    """A hash of each two classes, by f and cls; null where blocks are single classes."""
+    """A hash of each two classes of letters, by f and cls."""
     present = F.array_distinct("cls")
     starts = F.transform(present, lambda c: F.array_position(F.col("cls"), c).cast("int"))
     # evaluated once, as a lambda's variable
@@ -208,10 +224,10 @@ def _pairs_of_classes() -> Column:
     every = F.transform(
         of,
         lambda s: F.transform(
-            F.sequence(F.lit(0), F.col("classes") - 1),
+            F.sequence(F.lit(0), F.lit(LETTER_CLASSES - 1)),
             lambda c: F.when(
                 F.array_contains(s["present"], c),
-                F.xxhash64("kind", c, F.get(s["bits"], F.array_position(s["present"], c).cast("int") - 1)),
+                F.xxhash64(F.lit(0), c, F.get(s["bits"], F.array_position(s["present"], c).cast("int") - 1)),
             ),
         ),
     )
@@ -226,7 +242,7 @@ def _pairs_of_classes() -> Column:
             )
         ),
     )
-    return F.when(F.col("kind") < 2, F.array_distinct(F.array_compact(F.get(pairs, F.lit(0)))))
+    return F.array_distinct(F.array_compact(F.get(pairs, F.lit(0))))
 
 
 def agreeing(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -237,6 +253,14 @@ def agreeing(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, stored(members.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("hub")), "sizes")
 
 
+def open_members(members: DataFrame, sizes: DataFrame, edges: DataFrame) -> DataFrame:
+    """members of the blocks in sizes whose lines the edges don't all connect, with n and comp, the component."""
+    dense = components(edges).withColumnRenamed("v", "h")
+    own = members.join(sized(sizes), "k").join(sized(dense), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
+    open_keys = own.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("k")
+    return stored(own.join(sized(stored(open_keys, "open")), "k"), "open-lines")
+
+
 def near_lines(signed: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, few: int = FEW) -> DataFrame:
     """Edges (a, b) between keys of verified lines that connect all similar lines that agree on a block."""
     members, sizes = agreeing(signed)
@@ -249,12 +273,19 @@ def near_lines(signed: DataFrame, distinct: DataFrame, docs: DataFrame, id_col:
     stars = stars.join(sides[0], "a").join(sides[1], "b")
     stars = stars.filter(may_be_similar(lambda c: F.col(f"of_a.{c}"), lambda c: F.col(f"of_b.{c}"), marks, similarity)).select("a", "b")
     first = _verified(stars, texts, similarity)
-    dense = components(first).withColumnRenamed("v", "h")
     some = sizes.filter("n > 2").select("k", "n")
-    own = members.join(sized(some), "k").join(sized(dense), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
-    # keys whose lines are all connected need no further look
-    open_keys = own.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("k")
-    own = own.join(sized(stored(open_keys, "open")), "k")
+    own = open_members(members, some, first)
+    # where many lines are open, any four of them connect most of what one left
+    picked = [f("h", F.xxhash64(F.lit(i), "h")) for i in range(2) for f in (F.min_by, F.max_by)]
+    hubs = own.filter(F.col("n") > HUBS_FROM).groupBy("k").agg(F.array(*picked).alias("hubs"))
+    hubs = stored(hubs.select("k", F.explode(F.array_distinct("hubs")).alias("hub")), "hubs")
+    of_hubs = own.select("k", F.col("h").alias("hub"), F.col("comp").alias("of")).join(sized(hubs), ["k", "hub"])
+    stars = own.join(sized(stored(of_hubs, "hub-lines")), "k").filter("comp <> of")
+    stars = stars.select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct()
+    stars = stars.join(sides[0], "a").join(sides[1], "b")
+    stars = stars.filter(may_be_similar(lambda c: F.col(f"of_a.{c}"), lambda c: F.col(f"of_b.{c}"), marks, similarity)).select("a", "b")
+    first = first.unionByName(_verified(stars, texts, similarity))
+    own = open_members(members, some, first)
     # lengths of similar lines lie in one band or in neighbouring ones
     width = -math.log(max(similarity - 0.01, 1e-6))
     band = F.when(F.col("n") > few, F.floor(F.log("len") / width)).otherwise(0)
@@ -340,11 +371,30 @@ def letters_allow(of_x: Column, of_y: Column, x: Column, y: Column, similarity:
     return differ + F.abs(size(x) - size(y)) <= 2 * most
 
 
+def with_gap(x: Column, y: Column) -> Column:
+    """Edits that suffice if y has more words: some of it that stand together are taken out, all others exchanged in place."""
+    more = F.size(y) - F.size(x)
+    cost = lambda p, q: F.when(p == q, 0).otherwise(F.greatest(F.length(p), F.length(q)))
+    before, after = F.zip_with(x, F.slice(y, F.lit(1), F.size(x)), cost), F.zip_with(x, F.slice(y, more + 1, F.size(x)), cost)
+    taken = F.transform(F.sequence(F.lit(1), F.size(x) + 1), lambda i: F.length(F.array_join(F.slice(y, i, more), " ")) + 1)
+    state = lambda pre, post, best: F.struct(pre.alias("pre"), post.alias("post"), best.alias("best"))
+    # the place where the words are taken out moves on: what is before it counts as before, the rest as after
+    moved = F.aggregate(
+        F.arrays_zip(before.alias("b"), after.alias("a"), taken.alias("t")),
+        state(F.lit(0), F.lit(0), F.lit(1 << 30)),
+        lambda s, w: state(
+            s["pre"] + F.coalesce(w["b"], F.lit(0)), s["post"] + F.coalesce(w["a"], F.lit(0)), F.least(s["best"], s["pre"] - s["post"] + w["t"])
+        ),
+        lambda s: s["post"] + s["best"],
+    )
+    return moved
+
+
 def similar(x: Column, y: Column, similarity: float) -> Column:
     """Whether two lines, given as words, have an edit similarity of at least the threshold.
 
     Lines of as many words that differ in few are similar without a table of edits: exchanging the words
-    bounds the distance.  Else what is left is compared when the words that both begin and end with are taken
+    bounds the distance, and so does taking out words that one line has more, in one place.  Else what is left is compared when the words that both begin and end with are taken
     off; each word stands with the blank that follows it.
     """
     line = lambda words: F.array_join(words, " ")
@@ -373,9 +423,9 @@ def similar(x: Column, y: Column, similarity: float) -> Column:
         own = F.greatest(F.size(s[side]) - s["head"] - s["tail"], F.lit(0))
         return F.concat(line(F.slice(s[side], s["head"] + 1, own)), F.when(own > 0, " ").otherwise(""))
 
-    exchanged = F.aggregate(
-        F.zip_with(x, y, lambda p, q: F.when(p == q, 0).otherwise(F.greatest(F.length(p), F.length(q)))), F.lit(0), lambda a, n: a + n
-    )
+    cost = lambda p, q: F.when(p == q, 0).otherwise(F.levenshtein(p, q))
+    exchanged = F.aggregate(F.zip_with(x, y, cost), F.lit(0), lambda a, n: a + n)
+    fewer, more = F.when(F.size(x) < F.size(y), x).otherwise(y), F.when(F.size(x) < F.size(y), y).otherwise(x)
     # the table is a band as wide as the distance allowed: in long ones a narrow one suffices for most
     middles = F.transform(ends, lambda s: F.struct(middle(s, "x").alias("x"), middle(s, "y").alias("y"), s["most"].alias("most")))
 
@@ -383,15 +433,16 @@ def similar(x: Column, y: Column, similarity: float) -> Column:
         return F.call_function("levenshtein", s["x"], s["y"], bound) >= 0
 
     def decided(s: Column) -> Column:
-        whole = found = within(s, s["most"])
+        found = within(s, s["most"])
         for band in BANDS:
-            found = F.when(within(s, F.least(F.lit(band), s["most"])), True).when(s["most"] <= band, False).otherwise(found)
-        return F.when(F.least(F.length(s["x"]), F.length(s["y"])) <= LONG, whole).otherwise(found)
+            found = F.when(s["most"] > 2 * band, F.when(within(s, F.lit(band)), True).otherwise(found)).otherwise(found)
+        return found
 
     near = F.transform(middles, decided)[0]
     return (
         F.when(F.abs(size(x) - size(y)) > most, False)
         .when((F.size(x) == F.size(y)) & (exchanged <= most), True)
+        .when((F.size(more) - F.size(fewer)).between(1, GAP) & (with_gap(fewer, more) <= most), True)
         .otherwise(near)
     )
 

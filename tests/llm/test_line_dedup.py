@@ -268,3 +268,43 @@ def test_counts_of_letters_beyond_their_codes(spark):
     table = spark.createDataFrame(rows, "i int, x array<string>, y array<string>, of_x array<int>, of_y array<int>")
     allow = line_dedup.letters_allow(F.col("of_x"), F.col("of_y"), F.col("x"), F.col("y"), SIMILARITY)
     assert [r.a for r in table.select("i", allow.alias("a")).sort("i").collect()] == [False, True]
+
+
+def test_blocks_of_rare_words(spark):
+    """Lines that share their common words alone agree on no block; lines that differ by one word do, whatever their length."""
+    rng = random.Random(14)
+    common = ["the", "of", "and", "to", "in", "a", "is", "that", "it", "was", "for", "on"]
+    rare = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(8, 11)))
+    rows = []
+    for length in (8, 15, 16, 40, 120):
+        for i in range(40):
+            words = [rng.choice(common) if k % 2 else rare() for k in range(length)]
+            own = list(words)
+            own[rng.randrange(length)] = rare()
+            rows += [(len(rows), length, " ".join(words)), (len(rows) + 1, length, " ".join(own))]
+    signed = line_dedup.signed_lines(spark.createDataFrame(rows, "doc_id long, n int, text string"), "doc_id", "text")
+    of = {}
+    for r in signed.select("doc_id", F.explode("blocks").alias("k")).collect():
+        of.setdefault(r.k, set()).add(r.doc_id // 2)
+    assert all(len(pairs) == 1 for pairs in of.values())
+    got = {r.doc_id: set(r.blocks) for r in signed.select("doc_id", "blocks").collect()}
+    assert all(len(b) <= 8 for b in got.values())
+    assert sum(bool(got[i] & got[i + 1]) for i in range(0, len(rows), 2)) >= 0.98 * len(rows) / 2
+
+
+def test_words_taken_out_in_one_place_bound_the_edits(spark):
+    """The bound is never below the edits, and is what a gap costs where nothing else differs."""
+    rng, rows = random.Random(15), []
+    for i in range(300):
+        y = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(2, 14))]
+        at, n = rng.randrange(len(y)), rng.randint(1, line_dedup.GAP)
+        x = y[:at] + y[at + n :]
+        plain = len(" ".join(y)) - len(" ".join(x)) if 0 < len(x) else None
+        if i % 2 and x:
+            x[rng.randrange(len(x))], plain = "abca", None
+        if x:
+            rows.append((i, x, y, plain))
+    table = spark.createDataFrame(rows, "i int, x array<string>, y array<string>, plain int")
+    for r in table.withColumn("bound", line_dedup.with_gap(F.col("x"), F.col("y"))).collect():
+        assert r.bound >= brute.levenshtein(" ".join(r.x), " ".join(r.y))
+        assert r.plain is None or r.bound == r.plain
